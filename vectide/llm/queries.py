@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vectide.llm import language, mixing, pii, spots, toxicity
+from vectide.llm import language, mixing, packing, pii, spots, toxicity
 from vectide.llm.tables import documents, remainder
 from vectide.llm.text import pieces
 
@@ -40,6 +40,10 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents(spark, sf_dir).select("doc_id", "text").mapInArrow(run, schema)
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(documents(spark, sf_dir))
+
+
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     held = remainder(F.col("doc_id"), 5) == 0
