@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vectide.llm import language, mixing, neardup, packing, pii, spots, substrings, toxicity
+from vectide.llm import language, mixing, mixture, neardup, packing, pii, spots, substrings, toxicity
 from vectide.llm.tables import documents, remainder
 from vectide.llm.text import pieces
 
@@ -82,6 +82,11 @@ def op8_spots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spots.with_successors(documents(spark, sf_dir), run, schema)
 
 
+def op9_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return mixture.score(docs, mixture.train(docs))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix_sources(documents(spark, sf_dir))
     return mixing.by_position(mixed.select("doc_id", "size", "source_size", "target", "taken", "copies", "position"))
