@@ -10,13 +10,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vectide.llm import language, mixing, mixture, neardup, packing, pii, spots, substrings, toxicity
+from vectide.llm import language, media, mixing, mixture, neardup, packing, pii, spots, substrings, toxicity
 from vectide.llm.tables import documents, remainder
 from vectide.llm.text import pieces
 
 TOXIC = 0.7
 
 
+def op1_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.digest(media.store(documents(spark, sf_dir)))
+
+
 def op2_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_repeats(documents(spark, sf_dir))
 
