@@ -14,7 +14,7 @@ Repeated rows are scored alike.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -112,30 +112,52 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, params: Ftrl
     return rows.mapInArrow(fit, "bucket long, weight double")
 
 
-def score(docs: DataFrame, model: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keep`` columns and the score of every text.
+def _scorer(docs: DataFrame, model: DataFrame) -> Callable[[], Callable[[pa.Array], np.ndarray]]:
+    """A maker, for the tasks, of the function text column -> scores.
 
     The model has at most 2**20 rows and is broadcast by value.
     """
     rows = model.toPandas()
-    dense = np.zeros(1 << BITS, np.float32)
     bias = float(rows.weight[rows.bucket == -1].sum())
     rows = rows[rows.bucket >= 0]
-    dense_ref = docs.sparkSession.sparkContext.broadcast((rows.bucket.to_numpy(), rows.weight.to_numpy()))
+    sent = docs.sparkSession.sparkContext.broadcast((rows.bucket.to_numpy(), rows.weight.to_numpy()))
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights = dense.copy()
-        weights[dense_ref.value[0]] = dense_ref.value[1]
-        for piece in pieces(batches, limit=1 << 20):
-            words = Words(piece.column(len(keep)), plain=True)
-            owner, bucket = features(words)
+    def make() -> Callable[[pa.Array], np.ndarray]:
+        weights = np.zeros(1 << BITS, np.float32)
+        weights[sent.value[0]] = sent.value[1]
+
+        def scores(column: pa.Array) -> np.ndarray:
+            owner, bucket = features(Words(column, plain=True))
             w = weights[bucket]
             hit = np.flatnonzero(w)
             code, first = np.unique((owner[hit] << BITS) | bucket[hit], return_index=True)
-            raw = bias + np.bincount(code >> BITS, w[hit][first].astype(np.float64), piece.num_rows)
-            raw = np.round(raw, 6)
-            yield pa.RecordBatch.from_arrays([*piece.columns[: len(keep)], pa.array(1 / (1 + np.exp(-np.clip(raw, -40, 40))))], [*keep, "score"])
+            raw = np.round(bias + np.bincount(code >> BITS, w[hit][first].astype(np.float64), len(column)), 6)
+            return 1 / (1 + np.exp(-np.clip(raw, -40, 40)))
+
+        return scores
+
+    return make
+
+
+def score(docs: DataFrame, model: DataFrame) -> DataFrame:
+    """doc_id and score of every text."""
+    make = _scorer(docs, model)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scores = make()
+        for piece in pieces(batches, limit=1 << 20):
+            yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(scores(piece.column(1)))], ["doc_id", "score"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
+
+
+def accepted(docs: DataFrame, model: DataFrame, threshold: float) -> DataFrame:
+    """The rows of ``docs``, all columns, whose text scores below ``threshold``."""
+    make, at = _scorer(docs, model), docs.columns.index("text")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scores = make()
+        for piece in pieces(batches, limit=1 << 20):
+            yield piece.filter(pa.array(scores(piece.column(at)) < threshold))
 
-    kept = docs.select(*keep, "text")
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[:-1])
-    return kept.mapInArrow(run, f"{fields}, score double")
+    return docs.mapInArrow(run, docs.schema)
