@@ -6,7 +6,9 @@ nodes are handled by partial aggregation and by joins that Spark can split.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import gc
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vectide.llm.tables import shared_folder
@@ -17,6 +19,12 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished turns: it does so for those that the driver has forgotten."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def _stars(both: DataFrame, large: bool) -> DataFrame:
     """both: (u, v) pairs to look at from u. Links v (and u) to the least node around u."""
     least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))

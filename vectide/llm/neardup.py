@@ -11,8 +11,8 @@ A document's shingles give a signature of ``COORDINATES`` minimal hashes. Each
 * skip merging: a posting list is not expanded into pairs. Its members are
   compared with a leader, first the least member, then one drawn by hash for
   every list, and members whose component the leader already shares are
-  skipped. When leaders find nothing more, the pairs of a list that still lie in
-  different components are all compared;
+  skipped. Once the members in different components form few pairs for each
+  posting, all those pairs are compared;
 * lists are also split by set size, as sets alike by t differ in size by 1/t at
   most.
 
@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vectide.llm.components import components, cut_lineage
+from vectide.llm.components import components, cut_lineage, free_shuffles
 from vectide.llm.tables import stored
 from vectide.llm.text import U64, Words, mix, pieces, prefix_sums, ranges
 
@@ -41,6 +41,8 @@ COORDINATES, MATCHES = 32, 12
 GROUP = 256
 #: turns with leaders before all pairs left are compared
 TURNS = 6
+#: at so many pairs per posting or fewer, all pairs left are compared at once
+PAIRS_PER_POSTING = 16
 _XOR = mix(np.arange(1, COORDINATES + 1, dtype=U64) * U64(0xA0761D6478BD642F))
 _ODD = mix(_XOR) | U64(1)
 
@@ -111,21 +113,30 @@ def _postings(classes: DataFrame, threshold: float) -> DataFrame:
     return listed.select(F.col("t.token").alias("token"), F.explode(F.array(level, level + 1)).alias("level"), "cls", "n")
 
 
+def _still_open(lists: DataFrame, label: DataFrame) -> tuple[DataFrame, int, int]:
+    """The posting lists whose members lie in different components by now, their size, and how many pairs such members form."""
+    keys = ["token", "level"]
+    now = lists.drop("component").join(label, lists["cls"] == label["node"], "left").select(*keys, "cls", "n", F.coalesce("component", "cls").alias("component"))
+    per = now.groupBy(*keys, "component").agg(F.count(F.lit(1)).alias("m"))
+    mixed = per.groupBy(*keys).agg(F.count(F.lit(1)).alias("kinds"), F.sum("m").alias("members"), F.sum(F.col("m") * F.col("m")).alias("inside")).where("kinds > 1")
+    kept = stored(now.join(mixed.select(*keys, ((F.col("members") * F.col("members") - F.col("inside")) / 2).alias("pairs"), "members"), keys))
+    size, pairs = kept.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.col("pairs") / F.col("members")), F.lit(0.0))).first()
+    return kept.drop("pairs", "members"), int(size), int(pairs)
+
+
 def _led(posted: DataFrame, order: Column) -> DataFrame:
     """(a, b): each member of a list with the list's leader, where their components differ."""
     keys = ["token", "level"]
-    leader = posted.groupBy(*keys).agg(F.min(F.struct(order.alias("o"), "cls", "n", "component")).alias("lead"), F.count(F.lit(1)).alias("members"))
-    pairs = posted.join(leader.where("members > 1").drop("members"), keys).where("component <> lead.component")
+    leader = posted.groupBy(*keys).agg(F.min(F.struct(order.alias("o"), "cls", "n", "component")).alias("lead"))
+    pairs = posted.join(leader, keys).where("component <> lead.component")
     return pairs.select(F.col("lead.cls").alias("a"), F.col("cls").alias("b"), F.col("lead.n").alias("na"), F.col("n").alias("nb")).distinct()
 
 
 def _remaining(posted: DataFrame) -> DataFrame:
     """(a, b): all pairs of a list in different components."""
     keys = ["token", "level"]
-    mixed = posted.groupBy(*keys).agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select(*keys)
-    open_lists = posted.join(mixed, keys)
-    a = open_lists.select(*keys, F.col("cls").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"))
-    b = open_lists.select(*keys, F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
+    a = posted.select(*keys, F.col("cls").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"))
+    b = posted.select(*keys, F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
     return a.join(b, keys).where("a < b AND ca <> cb").select("a", "b", "na", "nb").distinct()
 
 
@@ -179,10 +190,10 @@ def _packed(docs: DataFrame) -> DataFrame:
     return docs.select("cls", "text").mapInArrow(run, "cls long, packed binary")
 
 
-def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+def near_duplicates(docs: DataFrame, size_words: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every document."""
     spark = docs.sparkSession
-    of_docs = stored(signed(docs, size))
+    of_docs = stored(signed(docs, size_words))
     classes = stored(
         of_docs.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("k1", "k2").agg(F.min("doc_id").alias("cls"), F.first("n_shingles").alias("n"), F.first("tokens").alias("tokens"))
     )
@@ -191,16 +202,20 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     texts = stored(_packed(docs.select(F.col("doc_id").alias("cls"), "text").join(playing, "cls")))
     found = spark.createDataFrame([], "a long, b long")
     label = spark.createDataFrame([], "node long, component long")
-    last = 1
+    open_lists = posted.withColumn("component", F.col("cls"))
     for turn in range(TURNS + 1):
-        everything = turn == TURNS or last == 0
-        now = posted.join(label, posted["cls"] == label["node"], "left").select("token", "level", "cls", "n", F.coalesce("component", "cls").alias("component"))
-        pairs = _remaining(now) if everything else _led(now, F.xxhash64("cls", "token", F.lit(turn)) if turn else F.col("cls"))
-        links = cut_lineage(_confirmed(pairs, classes, texts, size, percent))
-        last = links.count()
-        if last:
+        open_lists, size, pairs_left = _still_open(open_lists, label)
+        if not size:
+            break
+        everything = turn == TURNS or turn > 0 and pairs_left <= PAIRS_PER_POSTING * size
+        order = F.xxhash64("cls", "token", F.lit(turn)) if turn else F.col("cls")
+        pairs = _remaining(open_lists) if everything else _led(open_lists, order)
+        links = cut_lineage(_confirmed(pairs, classes, texts, size_words, percent))
+        if links.count():
             found = cut_lineage(found.union(links))
             label = components(found)
+        del pairs, links
+        free_shuffles(spark)
         if everything:
             break
     of_class = classes.select("k1", "k2", "cls").join(label, F.col("cls") == F.col("node"), "left").select("k1", "k2", F.coalesce("component", "cls").alias("class_component"))

@@ -34,7 +34,7 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neardup.near_duplicates(documents(spark, sf_dir), size=2, percent=80)
+    return neardup.near_duplicates(documents(spark, sf_dir), size_words=2, percent=80)
 
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
