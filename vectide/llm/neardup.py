@@ -1,26 +1,27 @@
 """MinHash near-duplicates by an inverted join over signature coordinates.
 
-A document's shingles give a signature of ``COORDINATES`` minimal hashes. Each
-(coordinate, value) is a token. Documents alike by 0.8 share at least
-``MATCHES`` of the tokens except with a probability below 1e-7, so:
-
-* prefix merging: with tokens ordered by how many documents post them, such
-  documents share one of the rarest COORDINATES - MATCHES + 1. Tokens that one
-  document alone posts fill that prefix first, and a document with fewer than
-  MATCHES shared tokens has no partner at all;
+A document's shingles give a signature of ``COORDINATES`` minimal hashes, and
+each (coordinate, value) is a token. Documents alike by 0.8 share at least
+``MATCHES`` tokens, except with a probability below 2e-7. So:
+
+* prefix merging: with all tokens in one order, such documents share one of the
+  first COORDINATES - MATCHES + 1 tokens of each. The order is by how often a
+  token's hash bucket occurs in the whole table, rarest first, so the prefix
+  leaves out a document's most common tokens. Documents are posted under their
+  prefix;
 * skip merging: a posting list is not expanded into pairs. Its members are
-  compared with a leader, first the least member, then one drawn by hash for
-  every list, and members whose component the leader already shares are
-  skipped. Once the members in different components form few pairs for each
-  posting, all those pairs are compared;
-* lists are also split by set size, as sets alike by t differ in size by 1/t at
-  most.
-
-Pairs with MATCHES equal coordinates are confirmed on the full shingle sets.
+  compared with a leader (the least member, then one drawn by hash for every
+  list), and members whose component the leader already shares are skipped.
+  Once the members in different components form few pairs for each posting,
+  all those pairs are compared;
+* pairs of fitting size with MATCHES equal coordinates are confirmed on the full
+  shingle sets.
+
 Documents with equal sets form one class and take part once.
 
-Null and empty texts, and texts without a word, have no shingle and no link. A
-null doc_id joins its class, but never names a component unless alone.
+Null and empty texts, and texts without a word, have no shingle and no link. A null
+doc_id joins the class of its set, if that has another member, and is else its
+own component. A doc_id stands for one text: rows that repeat it are one node.
 """
 
 from __future__ import annotations
@@ -36,7 +37,11 @@ from vectide.llm.components import components, cut_lineage, free_shuffles
 from vectide.llm.tables import stored
 from vectide.llm.text import U64, Words, mix, pieces, prefix_sums, ranges
 
-COORDINATES, MATCHES = 32, 12
+COORDINATES, MATCHES = 64, 33
+#: token counts that order the prefixes: at most so many hash buckets of one byte
+MOST_BITS = 24
+#: bits that tell which texts a confirmation needs
+WANTED_BITS = 23
 #: members of a leader that are compared in one group
 GROUP = 256
 #: turns with leaders before all pairs left are compared
@@ -68,89 +73,191 @@ def shingle_sets(column: pa.Array, size: int) -> list[np.ndarray]:
 
 
 def signature(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Tokens (documents x coordinates) and a 128-bit key per set, for non-empty sets."""
+    """Signatures (sets x coordinates) and a 128-bit key per set, for non-empty sets."""
     flat = np.concatenate(sets)
     first = np.cumsum([0, *map(len, sets)])[:-1]
-    tokens = np.empty((len(sets), COORDINATES), U64)
+    found = np.empty((len(sets), COORDINATES), np.int32)
     for j in range(COORDINATES):
         y = (flat ^ _XOR[j]) * _ODD[j]
         y ^= y >> U64(32)
-        tokens[:, j] = mix(np.minimum.reduceat(y, first) + _ODD[j])
+        found[:, j] = (mix(np.minimum.reduceat(y, first) + _ODD[j]) >> U64(32)).astype(np.uint32).view(np.int32)
     key = np.stack([np.add.reduceat(mix(flat), first), np.add.reduceat(mix(flat + U64(0x5851F42D4C957F2D)), first)])
-    return tokens, key
+    return found, key
 
 
-def signed(docs: DataFrame, size: int, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, n_shingles, the key of its set (k1, k2) and tokens (null without shingles)."""
+def signed(docs: DataFrame, size: int) -> DataFrame:
+    """doc_id, n_shingles, the key of its set (k1, k2) and the signature (empty without shingles)."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in pieces(batches, limit=1 << 20):
             sets = shingle_sets(piece.column(1), size)
             n = np.array([len(s) for s in sets])
             some = np.flatnonzero(n)
-            tokens = np.zeros((len(n), COORDINATES), U64)
+            found = np.zeros((len(n), COORDINATES), np.int32)
             key = np.zeros((2, len(n)), U64)
             if len(some):
-                tokens[some], key[:, some] = signature([sets[i] for i in some])
+                found[some], key[:, some] = signature([sets[i] for i in some])
             offsets = np.cumsum([0, *np.where(n > 0, COORDINATES, 0)]).astype(np.int32)
-            listed = pa.ListArray.from_arrays(pa.array(offsets), pa.array(tokens[some].reshape(-1).view(np.int64)))
+            listed = pa.ListArray.from_arrays(pa.array(offsets), pa.array(found[some].reshape(-1)))
             yield pa.RecordBatch.from_arrays(
                 [piece.column(0), pa.array(n.astype(np.int64)), *(pa.array(k.view(np.int64)) for k in key), listed],
-                ["doc_id", "n_shingles", "k1", "k2", "tokens"],
+                ["doc_id", "n_shingles", "k1", "k2", "sig"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, k1 long, k2 long, tokens array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, k1 long, k2 long, sig array<int>")
+
+
+def _tokens(column: pa.Array) -> np.ndarray:
+    """(coordinate, value) of each signature as one number: classes x coordinates."""
+    values = column.flatten().to_numpy(zero_copy_only=False).reshape(-1, COORDINATES).view(np.uint32).astype(U64)
+    return values | (np.arange(COORDINATES, dtype=U64) << U64(32))
+
 
+def _bucket(tokens: np.ndarray, bits: int) -> np.ndarray:
+    return (mix(tokens) >> U64(64 - bits)).astype(np.int64)
 
-def _postings(classes: DataFrame, threshold: float) -> DataFrame:
-    """(list_token, list_size, cls, n): each class under its prefix tokens, split by size."""
-    token = classes.select("cls", "n", F.explode("tokens").alias("token"))
-    common = token.groupBy("token").agg(F.count(F.lit(1)).alias("freq")).where("freq > 1")
-    held = token.join(common, "token").groupBy("cls", "n").agg(F.sort_array(F.collect_list(F.struct("freq", "token"))).alias("held"))
-    prefix = F.slice("held", F.lit(1), F.size("held") - (MATCHES - 1))
-    listed = held.where(F.size("held") >= MATCHES).select("cls", "n", F.explode(prefix).alias("t"))
-    level = F.floor(F.log("n") / F.log(F.lit(1 / threshold)) + 1e-9).cast("int")
-    return listed.select(F.col("t.token").alias("token"), F.explode(F.array(level, level + 1)).alias("level"), "cls", "n")
 
+def _frequencies(classes: DataFrame, bits: int) -> np.ndarray:
+    """How often each hash bucket of tokens occurs in all signatures, up to 255.
+
+    Tasks emit their counts packed, by blocks; blocks are added on the executors, and the
+    sums, of 2**bits bytes at most, come to the driver.
+    """
+    block = 1 << min(bits, 16)
+
+    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
 
-def _still_open(lists: DataFrame, label: DataFrame) -> tuple[DataFrame, int, int]:
+        total = np.zeros(1 << bits, np.int32)
+        for batch in batches:
+            np.add.at(total, _bucket(_tokens(batch.column(0)), bits).reshape(-1), 1)
+        small = np.minimum(total, 255).astype(np.uint8)
+        deflate = zstandard.ZstdCompressor(level=1).compress
+        for a in range(0, 1 << bits, block):
+            if small[a : a + block].any():
+                yield pa.RecordBatch.from_arrays([pa.array([a // block], pa.int32()), pa.array([deflate(small[a : a + block].tobytes())])], ["block", "counts"])
+
+    def add(key: tuple, table: pa.Table) -> pa.Table:
+        import zstandard
+
+        inflate, total = zstandard.ZstdDecompressor().decompress, np.zeros(block, np.int64)
+        for x in table["counts"].to_pylist():
+            total += np.frombuffer(inflate(x), np.uint8)
+        packed = zstandard.ZstdCompressor(level=1).compress(np.minimum(total, 255).astype(np.uint8).tobytes())
+        return pa.table([pa.array([key[0].as_py()], pa.int32()), pa.array([packed])], names=["block", "counts"])
+
+    import zstandard
+
+    out = np.zeros(1 << bits, np.uint8)
+    schema = "block int, counts binary"
+    for r in classes.select("sig").mapInArrow(count, schema).groupBy("block").applyInArrow(add, schema).toLocalIterator():
+        out[r["block"] * block : (r["block"] + 1) * block] = np.frombuffer(zstandard.ZstdDecompressor().decompress(bytes(r["counts"])), np.uint8)
+    return out
+
+
+def _postings(classes: DataFrame, n: int) -> DataFrame:
+    """(token, cls, n): each class under the tokens of its prefix."""
+    bits = min(MOST_BITS, max(12, (n * COORDINATES).bit_length()))
+    sent = classes.sparkSession.sparkContext.broadcast(_frequencies(classes, bits))
+    prefix = COORDINATES - MATCHES + 1
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count = sent.value
+        for whole in batches:
+            for at in range(0, whole.num_rows, 2048):
+                batch = whole.slice(at, 2048)
+                tokens = _tokens(batch.column(2))
+                order = (count[_bucket(tokens, bits)].astype(U64) << U64(56)) | (mix(tokens) >> U64(8))
+                first = np.argpartition(order, prefix - 1, axis=1)[:, :prefix]
+                take = pa.array(np.repeat(np.arange(batch.num_rows), prefix))
+                chosen = np.take_along_axis(tokens, first, 1).reshape(-1).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(chosen), batch.column(0).take(take), batch.column(1).take(take)], ["token", "cls", "n"])
+
+    return classes.select("cls", "n", "sig").mapInArrow(run, "token long, cls long, n long")
+
+
+def _still_open(lists: DataFrame, label: DataFrame | None) -> tuple[DataFrame, int, int]:
     """The posting lists whose members lie in different components by now, their size, and how many pairs such members form."""
-    keys = ["token", "level"]
-    now = lists.drop("component").join(label, lists["cls"] == label["node"], "left").select(*keys, "cls", "n", F.coalesce("component", "cls").alias("component"))
-    per = now.groupBy(*keys, "component").agg(F.count(F.lit(1)).alias("m"))
-    mixed = per.groupBy(*keys).agg(F.count(F.lit(1)).alias("kinds"), F.sum("m").alias("members"), F.sum(F.col("m") * F.col("m")).alias("inside")).where("kinds > 1")
-    kept = stored(now.join(mixed.select(*keys, ((F.col("members") * F.col("members") - F.col("inside")) / 2).alias("pairs"), "members"), keys))
-    size, pairs = kept.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.col("pairs") / F.col("members")), F.lit(0.0))).first()
-    return kept.drop("pairs", "members"), int(size), int(pairs)
+    now = lists.withColumn("component", F.col("cls"))
+    if label is not None:
+        now = lists.drop("component").join(label, lists["cls"] == label["node"], "left").select("token", "cls", "n", F.coalesce("component", "cls").alias("component"))
+    per = now.groupBy("token", "component").agg(F.count(F.lit(1)).alias("m")) if label is not None else now.withColumn("m", F.lit(1))
+    mixed = per.groupBy("token").agg(F.count(F.lit(1)).alias("kinds"), F.sum("m").alias("members"), F.sum(F.col("m") * F.col("m")).alias("inside")).where("kinds > 1")
+    pairs = (F.col("members") * F.col("members") - F.col("inside")) / (2 * F.col("members"))
+    kept = stored(now.join(mixed.select("token", pairs.alias("pairs")), "token"))
+    size, total = kept.agg(F.count(F.lit(1)), F.coalesce(F.sum("pairs"), F.lit(0.0))).first()
+    return kept.drop("pairs"), int(size), int(total)
 
 
 def _led(posted: DataFrame, order: Column) -> DataFrame:
     """(a, b): each member of a list with the list's leader, where their components differ."""
-    keys = ["token", "level"]
-    leader = posted.groupBy(*keys).agg(F.min(F.struct(order.alias("o"), "cls", "n", "component")).alias("lead"))
-    pairs = posted.join(leader, keys).where("component <> lead.component")
-    return pairs.select(F.col("lead.cls").alias("a"), F.col("cls").alias("b"), F.col("lead.n").alias("na"), F.col("n").alias("nb")).distinct()
+    leader = posted.groupBy("token").agg(F.min(F.struct(order.alias("o"), "cls", "n", "component")).alias("lead"))
+    pairs = posted.join(leader, "token").where("component <> lead.component")
+    return pairs.select(F.col("lead.cls").alias("a"), F.col("cls").alias("b"), F.col("lead.n").alias("na"), F.col("n").alias("nb"))
 
 
 def _remaining(posted: DataFrame) -> DataFrame:
     """(a, b): all pairs of a list in different components."""
-    keys = ["token", "level"]
-    a = posted.select(*keys, F.col("cls").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"))
-    b = posted.select(*keys, F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
-    return a.join(b, keys).where("a < b AND ca <> cb").select("a", "b", "na", "nb").distinct()
+    a = posted.select("token", F.col("cls").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"))
+    b = posted.select("token", F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
+    return a.join(b, "token").where("a < b AND ca <> cb").select("a", "b", "na", "nb")
+
+
+def _matching(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Distinct pairs of fitting sizes whose signatures agree in MATCHES coordinates."""
+    fits = pairs.where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).select("a", "b").distinct()
+    of = {x: classes.select(F.col("cls").alias(x), F.col("sig").alias(f"s{x}")) for x in "ab"}
+    agree = F.aggregate(F.zip_with("sa", "sb", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
+    return fits.join(of["b"], "b").join(of["a"], "a").where(agree >= MATCHES).select("a", "b")
+
+
+def _wanted(ids: DataFrame) -> np.ndarray:
+    """A bit for the hash of every id in column cls: 2**WANTED_BITS bits, whatever their number."""
+
+    def mark(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        bits = np.zeros(1 << WANTED_BITS, bool)
+        for batch in batches:
+            bits[_bit(batch.column(0))] = True
+        yield pa.RecordBatch.from_arrays([pa.array([zstandard.ZstdCompressor(level=1).compress(np.packbits(bits).tobytes())])], ["bits"])
+
+    import zstandard
+
+    total = np.zeros(1 << (WANTED_BITS - 3), np.uint8)
+    for r in ids.mapInArrow(mark, "bits binary").toLocalIterator():
+        total |= np.frombuffer(zstandard.ZstdDecompressor().decompress(bytes(r["bits"])), np.uint8)
+    return np.unpackbits(total).astype(bool)
+
+
+def _bit(ids: pa.Array) -> np.ndarray:
+    return (mix(ids.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64).view(U64)) >> U64(64 - WANTED_BITS)).astype(np.int64)
 
 
-def _confirmed(pairs: DataFrame, classes: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """cls, and the text compressed, of the documents with these ids (and a few others)."""
+    sent = docs.sparkSession.sparkContext.broadcast(np.packbits(_wanted(ids)))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        bits = np.unpackbits(sent.value).astype(bool)
+        deflate = zstandard.ZstdCompressor(level=3).compress
+        for batch in batches:
+            part = batch.filter(pa.array(bits[_bit(batch.column(0))]))
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([deflate((t or "").encode()) for t in part.column(1).to_pylist()], pa.binary())], ["cls", "packed"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "cls long, packed binary")
+
+
+def _confirmed(matched: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
     """The pairs whose sets are alike by percent/100; a is the leader that many b may share."""
-    fits = pairs.where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
-    of = {x: classes.select(F.col("cls").alias(x), F.col("tokens").alias(f"t{x}")) for x in "ab"}
-    matched = fits.join(of["b"], "b").join(of["a"], "a").where(F.size(F.array_intersect("ta", "tb")) >= MATCHES).select("a", "b")
-    matched = cut_lineage(matched)
     salts = matched.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / GROUP).cast("int").alias("groups"))
     dealt = matched.join(salts, "a").withColumn("salt", F.pmod(F.xxhash64("b"), "groups").cast("int"))
     asked = dealt.select(F.col("b").alias("cls"), "a", "salt", F.lit(True).alias("member")).union(
         salts.select(F.col("a").alias("cls"), "a", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("salt"), F.lit(False).alias("member"))
     )
+    texts = _texts(docs, matched.select(F.explode(F.array("a", "b")).alias("cls")))
     rows = asked.join(texts, "cls").select("a", "salt", "member", "cls", "packed")
     rows = rows.repartition("a", "salt").sortWithinPartitions("a", "salt", "member")
 
@@ -177,47 +284,31 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, texts: DataFrame, size: int
     return rows.mapInArrow(run, "a long, b long")
 
 
-def _packed(docs: DataFrame) -> DataFrame:
-    """cls, and the text compressed."""
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zstandard
-
-        deflate = zstandard.ZstdCompressor(level=3).compress
-        for piece in pieces(batches):
-            yield pa.RecordBatch.from_arrays([piece.column(0), pa.array([deflate((t or "").encode()) for t in piece.column(1).to_pylist()], pa.binary())], ["cls", "packed"])
-
-    return docs.select("cls", "text").mapInArrow(run, "cls long, packed binary")
-
-
 def near_duplicates(docs: DataFrame, size_words: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every document."""
     spark = docs.sparkSession
     of_docs = stored(signed(docs, size_words))
-    classes = stored(
-        of_docs.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("k1", "k2").agg(F.min("doc_id").alias("cls"), F.first("n_shingles").alias("n"), F.first("tokens").alias("tokens"))
-    )
-    posted = stored(_postings(classes, percent / 100))
-    playing = posted.select("cls").distinct()
-    texts = stored(_packed(docs.select(F.col("doc_id").alias("cls"), "text").join(playing, "cls")))
+    named = of_docs.where("n_shingles > 0 AND doc_id IS NOT NULL")
+    classes = stored(named.groupBy("k1", "k2").agg(F.min("doc_id").alias("cls"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig")))
+    lists = _postings(classes, classes.count())
     found = spark.createDataFrame([], "a long, b long")
-    label = spark.createDataFrame([], "node long, component long")
-    open_lists = posted.withColumn("component", F.col("cls"))
+    label: DataFrame | None = None
     for turn in range(TURNS + 1):
-        open_lists, size, pairs_left = _still_open(open_lists, label)
+        lists, size, pairs_left = _still_open(lists, label)
         if not size:
             break
         everything = turn == TURNS or turn > 0 and pairs_left <= PAIRS_PER_POSTING * size
         order = F.xxhash64("cls", "token", F.lit(turn)) if turn else F.col("cls")
-        pairs = _remaining(open_lists) if everything else _led(open_lists, order)
-        links = cut_lineage(_confirmed(pairs, classes, texts, size_words, percent))
-        if links.count():
+        matched = cut_lineage(_matching(_remaining(lists) if everything else _led(lists, order), classes, percent))
+        if not matched.isEmpty():
+            links = cut_lineage(_confirmed(matched, docs, size_words, percent))
             found = cut_lineage(found.union(links))
             label = components(found)
-        del pairs, links
         free_shuffles(spark)
         if everything:
             break
+    if label is None:
+        label = spark.createDataFrame([], "node long, component long")
     of_class = classes.select("k1", "k2", "cls").join(label, F.col("cls") == F.col("node"), "left").select("k1", "k2", F.coalesce("component", "cls").alias("class_component"))
     out = of_docs.select("doc_id", "n_shingles", "k1", "k2").join(of_class, ["k1", "k2"], "left")
     alone = F.col("n_shingles") == 0
