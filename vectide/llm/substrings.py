@@ -137,6 +137,7 @@ def remove_repeats(docs: DataFrame, size: int = SIZE, history: DataFrame | None
     groups = groups_for(docs)
     bits = bucket_bits or max(8, math.ceil(math.log2(groups)))
     dealt = grouped(docs, groups)
+    verified = history is None
 
     def find(key: tuple, table: pa.Table) -> pa.Table:
         return _posted(key[0].as_py(), Windows(table["text"], size).hashes(1, FIND_BITS), bits, FIND_BITS)
@@ -152,7 +153,7 @@ def remove_repeats(docs: DataFrame, size: int = SIZE, history: DataFrame | None
 
     def finish(key: tuple, table: pa.Table, answers: pa.Table) -> pa.Table:
         windows, hit = found(table, answers)
-        if history is None:
+        if verified:
             h = windows.hashes(2, VERIFY_BITS, hit)
             hit = hit[_among(h, _flagged(np.unique(h), _answers(answers, 2), bits, VERIFY_BITS))]
         edge = np.zeros(len(windows.words) + 1, np.int32)
@@ -179,7 +180,7 @@ def remove_repeats(docs: DataFrame, size: int = SIZE, history: DataFrame | None
     if history is not None:
         posted = posted.unionByName(history)
     answers = posted.groupBy("bucket").applyInArrow(_merge(1), ANSWER)
-    if history is None:
+    if verified:
         again = dealt.groupBy("g").cogroup(answers.groupBy("g")).applyInArrow(verify, runs.POST)
         answers = answers.union(again.groupBy("bucket").applyInArrow(_merge(2), ANSWER))
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", text string" * with_text
