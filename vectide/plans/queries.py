@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from vectide.functions import strings as S
 from vectide.functions import vectors as V
 from vectide.operators import embed, flatten, graph, knn, pairs, quantize, store
+from vectide.plans import models
 from vectide.types import GraphParams, Metric, chunk_offsets, rows_per_segment
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -612,3 +613,8 @@ def encode_hashing(spark, sf_dir):
 def encode(spark, sf_dir):
     rows = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), F.lit("passage: ").alias("instruction"), F.col("text").alias("value"))
     return embed.encode(rows).select("id", "embedding", "err_message")
+
+
+@query("model_catalog")
+def model_catalog(spark, sf_dir):
+    return models.catalog(spark)

@@ -15,7 +15,7 @@ LABELS = {"entailment": 1, "contradiction": 0}
 def read_tsv_vectors(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
     """path, embedding from (gzipped) lines ``path TAB json array``; blank and unreadable lines are left out."""
     cut = F.split("value", "\t", 2)
-    rows = spark.read.text(path).select(cut[0].alias("path"), F.from_json(cut[1], "array<float>").alias("embedding"))
+    rows = spark.read.text(path).select(cut[0].alias("path"), F.from_json(F.get(cut, F.lit(1)), "array<float>").alias("embedding"))
     rows = rows.where(F.col("embedding").isNotNull())
     return rows.limit(limit) if limit is not None else rows
 
@@ -37,7 +37,7 @@ def read_pair_labels(spark: SparkSession, path: str) -> DataFrame:
     cells = F.split("value", "\t")
     label = F.create_map(*(x for k, v in LABELS.items() for x in (F.lit(k), F.lit(v))))
     rows = spark.read.text(path).withColumn("line", F.monotonically_increasing_id())
-    return rows.select("line", cells[5].alias("a"), cells[6].alias("b"), F.element_at(label, cells[0]).alias("label")).where("label IS NOT NULL")
+    return rows.select("line", F.get(cells, F.lit(5)).alias("a"), F.get(cells, F.lit(6)).alias("b"), F.element_at(label, cells[0]).alias("label")).where("label IS NOT NULL")
 
 
 def models(text: str | None) -> list[dict[str, object]]:
