@@ -150,7 +150,7 @@ def _frequencies(classes: DataFrame, bits: int) -> np.ndarray:
 
     out = np.zeros(1 << bits, np.uint8)
     schema = "block int, counts binary"
-    for r in classes.select("sig").mapInArrow(count, schema).groupBy("block").applyInArrow(add, schema).toLocalIterator():
+    for r in classes.select("sig").mapInArrow(count, schema).groupBy("block").applyInArrow(add, schema).collect():
         out[r["block"] * block : (r["block"] + 1) * block] = np.frombuffer(zstandard.ZstdDecompressor().decompress(bytes(r["counts"])), np.uint8)
     return out
 
@@ -225,7 +225,7 @@ def _wanted(ids: DataFrame) -> np.ndarray:
     import zstandard
 
     total = np.zeros(1 << (WANTED_BITS - 3), np.uint8)
-    for r in ids.mapInArrow(mark, "bits binary").toLocalIterator():
+    for r in ids.coalesce(16).mapInArrow(mark, "bits binary").collect():
         total |= np.frombuffer(zstandard.ZstdDecompressor().decompress(bytes(r["bits"])), np.uint8)
     return np.unpackbits(total).astype(bool)
 
