@@ -84,7 +84,8 @@ def test_engine_life(spark, tmp_path):
     q = spark.createDataFrame([(0, "red fox")], "qid long, text string")
     top = engine.search("books", q, ["title"], limit=1).first()
     assert (top.doc_id, json.loads(top.doc)["title"]) == ("a", "red fox")
-    engine.index("books", requests(spark, {"_id": "a", "title": "green frog"}))
+    engine.index("books", requests(spark, {"_id": "a", "title": "grey frog"}, {"_id": "a", "title": "green frog"}))
+    assert json.loads(engine.documents("books").where("doc_id = 'a'").first().doc)["title"] == "green frog"
     assert {(r.field, r.eid) for r in engine.vectors("books").collect()} == {("title", "a"), ("title", "b")}
     engine.delete("books", ["a", "nothing"])
     assert [r.doc_id for r in engine.documents("books").collect()] == ["b"]

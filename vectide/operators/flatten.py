@@ -74,7 +74,7 @@ def flatten(docs: DataFrame) -> DataFrame:
 
 
 def exploded(requests: DataFrame, batch: str = "batch") -> DataFrame:
-    """(doc_id, doc) from requests (``batch``, body) that hold an object or an array of objects each.
+    """(doc_id, doc, request, place) from requests (``batch``, body) that hold an object or an array of objects each.
 
     A document's id is its string ``_id``; without one it gets one that depends on the
     request and its place. An ``_id`` of another type is an error.
@@ -83,7 +83,7 @@ def exploded(requests: DataFrame, batch: str = "batch") -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, docs = [], []
+            ids, docs, request, place = [], [], [], []
             for name, body in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 for i, doc in enumerate(parse(body)):
                     own = doc.get("_id")
@@ -91,9 +91,12 @@ def exploded(requests: DataFrame, batch: str = "batch") -> DataFrame:
                         raise ValueError("_id must be a string")
                     ids.append(own or md5(f"{name}\x1f{i}".encode()).hexdigest()[:16].upper())
                     docs.append(json.dumps(doc, ensure_ascii=False))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(docs, pa.string())], ["doc_id", "doc"])
+                    request.append(name)
+                    place.append(i)
+            columns = [pa.array(ids, pa.string()), pa.array(docs, pa.string()), pa.array(request, pa.string()), pa.array(place, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "doc", "request", "place"])
 
-    return requests.select(F.col(batch).cast("string"), "body").mapInArrow(run, "doc_id string, doc string")
+    return requests.select(F.col(batch).cast("string"), "body").mapInArrow(run, "doc_id string, doc string, request string, place long")
 
 
 def embeddable(flat_rows: DataFrame) -> DataFrame:

@@ -115,11 +115,13 @@ class Engine:
     def index(self, name: str, requests: DataFrame) -> None:
         """Flatten, encode and append the documents of (batch, body) requests.
 
-        A document written again replaces all its elements, also those it no longer has.
+        A document written again replaces all its elements, also those it no longer has;
+        of several with one id in a call, the last of the last request stays.
         """
         self.settings(name)
         seq = self._next()
-        docs = J.exploded(requests)
+        newest = Window.partitionBy("doc_id").orderBy(F.desc("request"), F.desc("place"))
+        docs = J.exploded(requests).withColumn("newest", F.row_number().over(newest)).where("newest = 1")
         self._put_documents(name, docs, seq, "put")
         stored = self._read("documents", "doc_id string, doc string, seq long, op string, collection string").where((F.col("collection") == name) & (F.col("seq") == seq)).select("doc_id", "doc")
         old = self.vectors(name).join(stored.select("doc_id"), "doc_id", "left_semi").select("field", "eid", "doc_id", F.lit(None).cast("array<float>").alias("embedding"))
