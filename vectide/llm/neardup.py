@@ -1,8 +1,8 @@
 """MinHash near-duplicates by an inverted join over signature coordinates.
 
-A document's shingles give a signature of ``COORDINATES`` minimal hashes, and
-each (coordinate, value) is a token. Documents alike by 0.8 share at least
-``MATCHES`` tokens, except with a probability below 2e-7. So:
+A document's shingles give a signature of ``COORDINATES`` values, each joined of
+ROWS minimal hashes, and each (coordinate, value) is a token. Documents alike by
+0.8 share at least ``MATCHES`` tokens, except with a probability of 3e-8. So:
 
 * prefix merging: with all tokens in one order, such documents share one of the
   first COORDINATES - MATCHES + 1 tokens of each. The order is by how often a
@@ -37,7 +37,8 @@ from vectide.llm.components import components, cut_lineage, free_shuffles
 from vectide.llm.tables import stored
 from vectide.llm.text import U64, Words, mix, pieces, prefix_sums, ranges
 
-COORDINATES, MATCHES = 64, 33
+#: a coordinate joins so many minimal hashes; signatures of alike documents share so many coordinates
+ROWS, COORDINATES, MATCHES = 2, 32, 6
 #: token counts that order the prefixes: at most so many hash buckets of one byte
 MOST_BITS = 24
 #: bits that tell which texts a confirmation needs
@@ -48,7 +49,7 @@ GROUP = 256
 TURNS = 6
 #: at so many pairs per posting or fewer, all pairs left are compared at once
 PAIRS_PER_POSTING = 16
-_XOR = mix(np.arange(1, COORDINATES + 1, dtype=U64) * U64(0xA0761D6478BD642F))
+_XOR = mix(np.arange(1, ROWS * COORDINATES + 1, dtype=U64) * U64(0xA0761D6478BD642F))
 _ODD = mix(_XOR) | U64(1)
 
 
@@ -78,9 +79,12 @@ def signature(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     first = np.cumsum([0, *map(len, sets)])[:-1]
     found = np.empty((len(sets), COORDINATES), np.int32)
     for j in range(COORDINATES):
-        y = (flat ^ _XOR[j]) * _ODD[j]
-        y ^= y >> U64(32)
-        found[:, j] = (mix(np.minimum.reduceat(y, first) + _ODD[j]) >> U64(32)).astype(np.uint32).view(np.int32)
+        value = np.zeros(len(sets), U64)
+        for i in range(j * ROWS, (j + 1) * ROWS):
+            y = (flat ^ _XOR[i]) * _ODD[i]
+            y ^= y >> U64(32)
+            value = mix(value * U64(3) + np.minimum.reduceat(y, first))
+        found[:, j] = (value >> U64(32)).astype(np.uint32).view(np.int32)
     key = np.stack([np.add.reduceat(mix(flat), first), np.add.reduceat(mix(flat + U64(0x5851F42D4C957F2D)), first)])
     return found, key
 
