@@ -12,8 +12,8 @@ ROWS minimal hashes, and each (coordinate, value) is a token. Documents alike by
 * skip merging: a posting list is not expanded into pairs. Its members are
   compared with a leader (the least member, then one drawn by hash for every
   list), and members whose component the leader already shares are skipped.
-  Once the members in different components form few pairs for each posting,
-  all those pairs are compared;
+  Once leaders find little more, all members in different components are
+  compared, in blocks inside the tasks, each pair in one of its lists;
 * pairs of fitting size with MATCHES equal coordinates are confirmed on the full
   shingle sets.
 
@@ -45,10 +45,10 @@ MOST_BITS = 24
 WANTED_BITS = 23
 #: members of a leader that are compared in one group
 GROUP = 256
-#: turns with leaders before all pairs left are compared
+#: turns with leaders at most, before all pairs left are compared
 TURNS = 6
-#: at so many pairs per posting or fewer, all pairs left are compared at once
-PAIRS_PER_POSTING = 16
+#: members of a list that are compared in one task, and candidate pairs per member that make a list a cloud
+BLOCK, DENSE = 1024, 4
 _XOR = mix(np.arange(1, ROWS * COORDINATES + 1, dtype=U64) * U64(0xA0761D6478BD642F))
 _ODD = mix(_XOR) | U64(1)
 
@@ -160,7 +160,7 @@ def _frequencies(classes: DataFrame, bits: int) -> np.ndarray:
 
 
 def _postings(classes: DataFrame, n: int) -> DataFrame:
-    """(token, cls, n): each class under the tokens of its prefix."""
+    """(token, cls, n, mask): each class under the tokens of its prefix; mask has a bit for each coordinate of it."""
     bits = min(MOST_BITS, max(12, (n * COORDINATES).bit_length()))
     sent = classes.sparkSession.sparkContext.broadcast(_frequencies(classes, bits))
     prefix = COORDINATES - MATCHES + 1
@@ -175,22 +175,21 @@ def _postings(classes: DataFrame, n: int) -> DataFrame:
                 first = np.argpartition(order, prefix - 1, axis=1)[:, :prefix]
                 take = pa.array(np.repeat(np.arange(batch.num_rows), prefix))
                 chosen = np.take_along_axis(tokens, first, 1).reshape(-1).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(chosen), batch.column(0).take(take), batch.column(1).take(take)], ["token", "cls", "n"])
+                mask = (1 << first.astype(np.int64)).sum(1)
+                columns = [pa.array(chosen), batch.column(0).take(take), batch.column(1).take(take), pa.array(np.repeat(mask, prefix))]
+                yield pa.RecordBatch.from_arrays(columns, ["token", "cls", "n", "mask"])
 
-    return classes.select("cls", "n", "sig").mapInArrow(run, "token long, cls long, n long")
+    return classes.select("cls", "n", "sig").mapInArrow(run, "token long, cls long, n long, mask long")
 
 
-def _still_open(lists: DataFrame, label: DataFrame | None) -> tuple[DataFrame, int, int]:
-    """The posting lists whose members lie in different components by now, their size, and how many pairs such members form."""
+def _still_open(lists: DataFrame, label: DataFrame | None) -> tuple[DataFrame, int]:
+    """The posting lists whose members lie in different components by now, and their size."""
     now = lists.withColumn("component", F.col("cls"))
     if label is not None:
-        now = lists.drop("component").join(label, lists["cls"] == label["node"], "left").select("token", "cls", "n", F.coalesce("component", "cls").alias("component"))
-    per = now.groupBy("token", "component").agg(F.count(F.lit(1)).alias("m")) if label is not None else now.withColumn("m", F.lit(1))
-    mixed = per.groupBy("token").agg(F.count(F.lit(1)).alias("kinds"), F.sum("m").alias("members"), F.sum(F.col("m") * F.col("m")).alias("inside")).where("kinds > 1")
-    pairs = (F.col("members") * F.col("members") - F.col("inside")) / (2 * F.col("members"))
-    kept = stored(now.join(mixed.select("token", pairs.alias("pairs")), "token"))
-    size, total = kept.agg(F.count(F.lit(1)), F.coalesce(F.sum("pairs"), F.lit(0.0))).first()
-    return kept.drop("pairs"), int(size), int(total)
+        now = lists.drop("component").join(label, lists["cls"] == label["node"], "left").select("token", "cls", "n", "mask", F.coalesce("component", "cls").alias("component"))
+    mixed = now.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("token")
+    kept = stored(now.join(mixed, "token"))
+    return kept, kept.count()
 
 
 def _led(posted: DataFrame, order: Column) -> DataFrame:
@@ -200,11 +199,80 @@ def _led(posted: DataFrame, order: Column) -> DataFrame:
     return pairs.select(F.col("lead.cls").alias("a"), F.col("cls").alias("b"), F.col("lead.n").alias("na"), F.col("n").alias("nb"))
 
 
-def _remaining(posted: DataFrame) -> DataFrame:
-    """(a, b): all pairs of a list in different components."""
-    a = posted.select("token", F.col("cls").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"))
-    b = posted.select("token", F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
-    return a.join(b, "token").where("a < b AND ca <> cb").select("a", "b", "na", "nb")
+def _blocks(posted: DataFrame) -> DataFrame:
+    """Members of lists dealt to blocks of about BLOCK, a row for each pair of blocks (i <= j) that needs the member."""
+    size = posted.groupBy("token").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64("cls", F.lit(99)), F.col("blocks")).cast("int")
+    dealt = posted.join(size, "token").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return dealt.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")}).drop("blocks", "other")
+
+
+def _candidates(table: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows (x, y) of one list's blocks whose members lie in different components, fit in size and agree
+    in MATCHES coordinates, each pair in the list of the lowest coordinate that both prefixes share only."""
+    i, j = table["i"][0].as_py(), table["j"][0].as_py()
+    own, cls, n, mask, comp = (table[c].to_numpy() for c in ("own", "cls", "n", "mask", "component"))
+    sig = table["sig"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, COORDINATES)
+    here = int(table["token"][0].as_py()) >> 32 & 0xFFFFFFFF
+    left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
+    weight = 1 << np.arange(COORDINATES, dtype=np.int64)
+    xs, ys = [], []
+    for at in range(0, len(left), 64):
+        a = left[at : at + 64]
+        fits = (comp[a][:, None] != comp[right]) & (100 * np.minimum(n[a][:, None], n[right]) >= percent * np.maximum(n[a][:, None], n[right]))
+        if i == j:
+            fits &= cls[a][:, None] < cls[right]
+        p, q = np.nonzero(fits)
+        p, q = a[p], right[q]
+        same = sig[p] == sig[q]
+        keep = same.sum(1) >= MATCHES
+        p, q, same = p[keep], q[keep], same[keep]
+        shared = (same @ weight) & mask[p] & mask[q]
+        first = (shared & -shared) == (1 << here)
+        xs.append(p[first])
+        ys.append(q[first])
+    return np.concatenate(xs or [[]]).astype(int), np.concatenate(ys or [[]]).astype(int)
+
+
+def _residual(posted: DataFrame, classes: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """All links between members of a list in different components.
+
+    Candidates are found inside the tasks. Lists with few of them emit pairs, confirmed like
+    the leaders'. A list with many, a cloud of documents around the threshold, gets its
+    members' texts instead, and its tasks emit links alone.
+    """
+    rows = _blocks(posted.join(classes.select("cls", "sig"), "cls"))
+    columns = ["token", "i", "j", "own", "cls", "n", "mask", "component", "sig"]
+
+    def sparse(key: tuple, table: pa.Table) -> pa.Table:
+        x, y = _candidates(table, percent)
+        cls = table["cls"].to_numpy()
+        many = len(x) > DENSE * table.num_rows
+        a, b = ([None], [None]) if many else (cls[x], cls[y])
+        return pa.table([pa.array([key[0].as_py()] * len(a), pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["token", "a", "b"])
+
+    found = stored(rows.select(*columns).groupBy("token", "i", "j").applyInArrow(sparse, "token long, a long, b long"))
+    links = _confirmed(found.where("a IS NOT NULL").select("a", "b"), docs, size, percent)
+    clouds = found.where("a IS NULL").select("token").distinct()
+    if clouds.isEmpty():
+        return links
+    members = rows.select(*columns).join(clouds, "token", "left_semi")
+    texts = _texts(docs, members.select("cls"))
+
+    def dense(key: tuple, table: pa.Table) -> pa.Table:
+        import zstandard
+
+        x, y = _candidates(table, percent)
+        inflate = zstandard.ZstdDecompressor().decompress
+        sets = shingle_sets(pa.array([inflate(p).decode() for p in table["packed"].to_pylist()], pa.large_string()), size)
+        hit = np.zeros(len(x), bool)
+        for k, (p, q) in enumerate(zip(x.tolist(), y.tolist(), strict=True)):
+            both = len(np.intersect1d(sets[p], sets[q], assume_unique=True))
+            hit[k] = 100 * both >= percent * (len(sets[p]) + len(sets[q]) - both)
+        cls = table["cls"].to_numpy()
+        return pa.table([pa.array(cls[x[hit]]), pa.array(cls[y[hit]])], names=["a", "b"])
+
+    return links.union(members.join(texts.dropDuplicates(["cls"]), "cls").select(*columns, "packed").groupBy("token", "i", "j").applyInArrow(dense, "a long, b long"))
 
 
 def _matching(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
@@ -297,15 +365,20 @@ def near_duplicates(docs: DataFrame, size_words: int = 5, percent: int = 80) ->
     lists = _postings(classes, classes.count())
     found = spark.createDataFrame([], "a long, b long")
     label: DataFrame | None = None
+    linked = 0
     for turn in range(TURNS + 1):
-        lists, size, pairs_left = _still_open(lists, label)
+        lists, size = _still_open(lists, label)
         if not size:
             break
-        everything = turn == TURNS or turn > 0 and pairs_left <= PAIRS_PER_POSTING * size
-        order = F.xxhash64("cls", "token", F.lit(turn)) if turn else F.col("cls")
-        matched = cut_lineage(_matching(_remaining(lists) if everything else _led(lists, order), classes, percent))
-        if not matched.isEmpty():
+        everything = turn == TURNS or turn > 0 and 20 * linked < size
+        if everything:
+            links = cut_lineage(_residual(lists, classes, docs, size_words, percent))
+        else:
+            order = F.xxhash64("cls", "token", F.lit(turn)) if turn else F.col("cls")
+            matched = cut_lineage(_matching(_led(lists, order), classes, percent))
             links = cut_lineage(_confirmed(matched, docs, size_words, percent))
+        linked = links.count()
+        if linked:
             found = cut_lineage(found.union(links))
             label = components(found)
         free_shuffles(spark)

@@ -27,10 +27,15 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """``df``, written once to the shared folder and read back: lineage ends here and survives lost executors."""
+    """``df``, written once to the shared folder and read back: lineage ends here and survives lost executors.
+
+    The table is deleted when the application ends.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/stored-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
     return spark.read.schema(df.schema).parquet(path)
 
 
