@@ -162,6 +162,25 @@ def test_minhash(spark, folder, docs):
     assert len({c for _, c in want.values()}) < len(want) - 8
 
 
+@pytest.mark.parametrize("dense", [-1, 10**9])
+def test_minhash_clouds(spark, monkeypatch, dense):
+    """Documents around the threshold, which leaders alone do not join; small blocks, with and without clouds."""
+    from vectide.llm import neardup
+
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(60)]
+    rows = []
+    for i in range(90):
+        words = list(base)
+        for _ in range(rng.randint(0, 9)):
+            words[rng.randrange(60)] = f"x{rng.randrange(1000)}"
+        rows.append((i, " ".join(words)))
+    monkeypatch.setattr(neardup, "DENSE", dense)
+    monkeypatch.setattr(neardup, "BLOCK", 16)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 2).collect()}
+    assert got == near_groups(rows, 2)
+
+
 def test_components_distributed_and_in_one_task(spark):
     from vectide.llm.components import components
 
