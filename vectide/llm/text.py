@@ -127,7 +127,7 @@ class Words:
         return self.data[self.start[i] : self.end[i]].tobytes()
 
 
-def pieces(batches: Iterable[pa.RecordBatch], text: str = "text", limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+def pieces(batches: Iterable[pa.RecordBatch], text: str = "text", limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Cut batches so that each piece holds about ``limit`` text bytes (or one longer text)."""
     for batch in batches:
         n = batch.num_rows

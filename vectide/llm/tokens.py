@@ -16,7 +16,7 @@ import pyarrow as pa
 
 from vectide.llm.text import U64, Words, ragged
 
-SLOT_BITS, KEPT_IDS = 21, 16 << 20
+SLOT_BITS, KEPT_IDS = 21, 8 << 20
 
 
 def default_tokenizer() -> str:
