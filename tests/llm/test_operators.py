@@ -340,6 +340,38 @@ def test_mixture_bits_are_a_distribution():
     assert kraft == pytest.approx(1)
 
 
+def test_mixture_sees_the_order_of_words(spark):
+    from vectide.llm import mixture
+
+    line = "the quick brown fox jumps over the lazy dog while seven old wizards keep watch"
+    rows = [(i, line) for i in range(40)] + [(1000, line), (1001, " ".join(sorted(line.split(), key=lambda w: w[::-1])))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    scores = {r.doc_id: r.score for r in mixture.score(docs, mixture.train(docs.where("doc_id < 1000"))).collect()}
+    assert scores[1000] - scores[1001] > 5
+
+
+def test_mixture_scores_words_after_words_as_a_whole_spelling_does():
+    import numpy as np
+    import pyarrow as pa
+
+    from vectide.llm import mixture
+    from vectide.llm.text import Words
+
+    words = Words(pa.array(["Ab c the ab", "", None, "x the c the", "c"]))
+    code = mixture.Code.of(np.bincount(words.data, minlength=256))
+    counts = np.zeros((mixture.TABLES, 1 << mixture.BITS, 2), np.int32)
+    mixture.count_slots(counts, words, code)
+    every = mixture.Spelling.of(words, np.arange(len(words)), *mixture.tails(words))
+    plain = np.zeros_like(counts)
+    for _, _, bit, slots in every.events(code):
+        for k, slot in enumerate(slots):
+            np.add.at(plain[k].reshape(-1), slot * 2 + bit, 1)
+    assert (counts == plain).all()
+    model = mixture.Model.of(code, counts)
+    _, first, back, _ = mixture.distinct(words, np.ones(len(words)))
+    assert np.allclose(model.text_scores(words, first, back), model.spelled(every, len(words) + 5))
+
+
 def test_mixing(spark, folder, docs):
     rows = q.op10_mixing(spark, folder).collect()
     size = {i: len(WORD.findall(t or "")) for i, t, *_ in docs}
