@@ -221,6 +221,28 @@ def test_pii_model_adds_what_patterns_miss():
     assert pii.redact(texts[1], spans[1]) == "you can call <PHONE> at noon"
 
 
+def test_pii_finds_numbers_in_pairs_and_addresses_of_few_digits():
+    import pyarrow as pa
+
+    from vectide.llm import pii
+
+    texts = {
+        "appelez le 06 12 34 56 78 demain": "appelez le <PHONE> demain",
+        "tel 55 13 22 44": "tel <PHONE>",
+        "call 5 5 5 0 1 3 2 2 tonight": "call <PHONE> tonight",
+        "fax 01 - 44 - 55 - 66 - 77 or come": "fax <PHONE> or come",
+        "the host dead:beef::1 is down": "the host <IP> is down",
+        "we saw ::1 in it": "we saw <IP> in it",
+        "there were 12 or 15 of 20 people": None,
+        "they left at 10 20 30 as ever": None,
+        "std::vector and a::b are fast": None,
+    }
+    for text, spans in zip(texts, pii.find(pa.array(list(texts)))[1], strict=True):
+        assert pii.redact(text, spans) == (texts[text] or text)
+    many = "sum " + "12 34 words " * 3 + "7 " * 5000
+    assert pii.find(pa.array([many, "tel 55 13 22 44"]))[1][1] == [("phone", 4, 15)]
+
+
 def test_packing(spark, folder, docs):
     from tokenizers import Tokenizer
 

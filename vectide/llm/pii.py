@@ -117,6 +117,22 @@ EXAMPLES = (
     "at 12:45:30 the run 00012345 ended",
     "isbn 978-3-16-148410-0 was out of print",
     "a ratio of 3.14159265 to 2.71828182 was found",
+    "appelez le {phone 06 12 34 56 78} avant midi",
+    "tel {phone 55 13 22 44} or come by",
+    "dial {phone 00 33 6 12 34 56 78} from abroad",
+    "fax {phone 01 - 44 - 55 - 66 - 77} or letter",
+    "ring {phone 5 5 5 0 1 3 2} and ask",
+    "numéro {phone (06) 12 34 56 78} le soir",
+    "the host {ip dead:beef::1} is down",
+    "a route to {ip ::1} was lost",
+    "see {ip fe80::1} now",
+    "peer {ip fd00:a:b::c} joined again",
+    "the prefix {ip cafe:babe::} is ours",
+    "try {phone (212) 555-0133} 4532132264650870 and wait",
+    "they met on 12 05 2024 and on 3 6 2025 again",
+    "between 10 and 12 of 20 houses had 2 or 3 rooms",
+    "lines 1 2 3 4 5 6 7 8 9 10 11 12 13 14 were cut",
+    "a::b and std::vector are names in the code",
 )
 _MARKED = re.compile(r"\{(\w+) ([^}]*)\}|(\S+)")
 _JOINS = {"at", "(at)", "[at]", "dot", "(dot)", "[dot]"}
@@ -237,15 +253,21 @@ def model() -> Crf:
     return Crf.train([labelled(x) for x in EXAMPLES])
 
 
-#: A word can carry a label only if it has this many digits, or is a spelled-out @ sign; the CRF sees the words around.
-LEAST_DIGITS, AROUND = 3, 5
-_CUE = re.compile(r"(?<!\S)\S*(?:[0-9][^\s0-9]{0,2}){3}\S*|[(\[](?:at|dot)[)\]]|(?<=\S )(?:at|dot)(?= \S+(?: dot |\.[a-z]))", re.I)
+#: The CRF sees words near a cue: a word with three digits, adjacent words with LEAST_DIGITS together, hex groups between colons, or a spelled-out @ sign or dot.
+LEAST_DIGITS, AROUND = 7, 5
+_CUE = re.compile(
+    r"(?<!\S)\S*(?:[0-9][^\s0-9]{0,2}){3}\S*|[(\[](?:at|dot)[)\]]|(?<=\S )(?:at|dot)(?= \S+(?: dot |\.[a-z]))"
+    r"|(?<![0-9a-z:])(?=:*[0-9a-f])[0-9a-f]{0,4}(?::[0-9a-f]{0,4}){2,}(?![0-9a-z:])",
+    re.I,
+)
+_NUMBERED = re.compile(r"(?<!\S)[^\s0-9]*[0-9]\S*")
+_BETWEEN = re.compile(r"\s+(?:[^\w\s]{1,2}\s+)?")
 _WORD = re.compile(r"\S+")
 
 
 def sequences(text: str) -> list[list[tuple[str, int, int]]]:
     """Stretches of words around every cue, as (trimmed word, start, end)."""
-    cues = [(m.start(), m.end()) for m in _CUE.finditer(text)]
+    cues = sorted([*(m.span() for m in _CUE.finditer(text)), *_number_runs(text)])
     out: list[list[tuple[str, int, int]]] = []
     done = 0
     i = 0
@@ -259,6 +281,9 @@ def sequences(text: str) -> list[list[tuple[str, int, int]]]:
         for m in _WORD.finditer(text, left, stop):
             w = m[0].strip(_TRIM)
             if w:
+                at = m[0].index(w)
+                if "::" in m[0]:  # an address may begin or end so
+                    w = "::" * m[0][:at].endswith("::") + w + "::" * m[0][at + len(w) :].startswith("::")
                 a = m.start() + m[0].index(w)
                 words.append((w, a, a + len(w)))
         if words:
@@ -268,6 +293,20 @@ def sequences(text: str) -> list[list[tuple[str, int, int]]]:
     return out
 
 
+def _number_runs(text: str) -> list[tuple[int, int]]:
+    """Words with digits, next to each other or with a sign between, that have LEAST_DIGITS together."""
+    out: list[tuple[int, int]] = []
+    start = end = digits = 0
+    for m in _NUMBERED.finditer(text):
+        if not digits or not _BETWEEN.fullmatch(text, end, m.start()):
+            if digits >= LEAST_DIGITS:
+                out.append((start, end))
+            start, digits = m.start(), 0
+        end = m.end()
+        digits += len(_digits(m[0]))
+    return [*out, (start, end)] if digits >= LEAST_DIGITS else out
+
+
 def _back(text: str, at: int, words: int) -> int:
     left = text[max(0, at - 40 * words) : at]
     found = list(_WORD.finditer(left))
@@ -298,10 +337,15 @@ def _plausible(kind: str, span: str) -> bool:
 def added_spans(texts: list[str], base: list[list[tuple[str, int, int]]]) -> list[list[tuple[str, int, int]]]:
     """What the CRF finds in each text beside its base spans."""
     crf = model()
-    runs = [(i, s) for i, t in enumerate(texts) for s in sequences(t)]
+    runs = sorted(((i, s) for i, t in enumerate(texts) for s in sequences(t)), key=lambda r: len(r[1]))
     out: list[list[tuple[str, int, int]]] = [[] for _ in texts]
-    for a in range(0, len(runs), 512):
-        part = runs[a : a + 512]
+    # so many at once that a long stretch of numbers does not stretch hundreds of others
+    sizes = np.maximum.accumulate([len(s) for _, s in runs]) if runs else np.zeros(0, int)
+    at = 0
+    while at < len(runs):
+        n = int(max(1, min(512, (1 << 16) // sizes[min(at + 511, len(runs) - 1)])))
+        part = runs[at : at + n]
+        at += n
         for (i, words), labels in zip(part, crf.decode([word_features([w for w, *_ in s]) for _, s in part]), strict=True):
             j = 0
             while j < len(words):
