@@ -269,6 +269,43 @@ def test_packing(spark, folder, docs):
         assert at <= 4096
 
 
+def test_short_documents_are_packed_with_little_padding(spark):
+    from vectide.llm import packing
+
+    texts = {"empty": [""] * 5000, "short": [" ".join(["the cat sat on a mat"] * (1 + i % 4)) for i in range(3000)]}
+    for rows in texts.values():
+        docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+        placed = packing.pack(docs, capacity=1024).collect()
+        ids, sequences = sum(r.length for r in placed), {r.sequence_id for r in placed}
+        assert len(placed) == len(rows) and len(sequences) <= ids / 1024 * 1.02 + 1
+
+
+def test_classes_cover_lengths_closely(spark):
+    from pyspark.sql import functions as F
+
+    from vectide.llm import packing
+
+    for capacity in (4096, 1000):
+        for r in spark.range(1, capacity + 1).select("id", packing.class_width(F.col("id"), capacity).alias("width")).collect():
+            assert r.id <= r.width <= min(capacity, r.id + min(15, r.id // packing.EXACT))
+
+
+def test_knapsack_is_the_best():
+    import numpy as np
+
+    from vectide.llm import packing
+
+    rng = np.random.default_rng(3)
+    for _ in range(20):
+        width = np.sort(rng.choice(np.arange(1, 120), 25, replace=False))
+        price = width / 200 * rng.uniform(0.7, 1.3, 25)
+        best = [0.0]
+        for c in range(1, 201):
+            best.append(max([best[-1], *(p + best[c - w] for p, w in zip(price, width, strict=True) if w <= c)]))
+        value, count = packing.knapsack(price, width, 200)
+        assert abs(value - best[200]) < 1e-9 and abs(count @ price - value) < 1e-9 and count @ width <= 200
+
+
 def test_column_generation_is_near_the_bound():
     from vectide.llm import packing
 

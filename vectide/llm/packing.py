@@ -1,8 +1,9 @@
 """Packing documents into training sequences by cutting-stock column generation.
 
 A document's ids (with an end id) are cut at every ``capacity`` ids; the
-pieces' lengths, in classes of ``UNIT`` ids, form a histogram of at most
-capacity / UNIT counts. A linear program over patterns (how many pieces of each
+pieces' lengths form a histogram of at most a few hundred classes: exact below
+2 * EXACT ids, and beyond rounded up by less than 1 in EXACT, and by less than
+``UNIT`` ids. A linear program over patterns (how many pieces of each
 class share a sequence) is solved by column generation: a knapsack dynamic
 program over the dual prices finds the next pattern. Patterns are rounded down
 and the few pieces left are packed greedily. Pieces are ranked within their
@@ -20,7 +21,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vectide.llm.tables import stored
@@ -28,28 +29,33 @@ from vectide.llm.text import pieces
 from vectide.llm.tokens import default_tokenizer, tokenizer
 
 CAPACITY, UNIT, END_ID = 4096, 16, 2
+#: lengths from EXACT * 2, 4, 8 ... ids are rounded up to multiples of 2, 4, 8 ... (of UNIT at most)
+EXACT = 64
 
 
 def knapsack(price: np.ndarray, width: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
     """The most valuable multiset of items that fits: its value and the count of each item."""
     best = np.zeros(capacity + 1)
     took = np.full(capacity + 1, -1)
-    for c in range(1, capacity + 1):
-        best[c] = best[c - 1]
-        fits = np.searchsorted(width, c, side="right")
-        if fits:
-            value = price[:fits] + best[c - width[:fits]]
-            i = int(value.argmax())
-            if value[i] > best[c] + 1e-12:
-                best[c], took[c] = value[i], i
+    many = np.ones(capacity + 1, np.int64)
+    # an item is of use if no narrower one is worth as much
+    useful = np.flatnonzero(price > np.maximum.accumulate(np.append(0, price[:-1])) + 1e-12)
+    for i in useful[np.argsort(-price[useful] / width[useful], kind="stable")]:
+        n = 1
+        while (w := n * int(width[i])) <= capacity:  # n copies at once, n = 1, 2, 4, ...: together any number
+            value = best[:-w] + n * price[i]
+            better = np.flatnonzero(value > best[w:] + 1e-12)
+            if n == 1 and not len(better):
+                break
+            best[w + better] = value[better]
+            took[w + better], many[w + better] = i, n
+            n *= 2
     count = np.zeros(len(width), np.int64)
     c = capacity
-    while c > 0:
-        if took[c] < 0:
-            c -= 1
-        else:
-            count[took[c]] += 1
-            c -= width[took[c]]
+    while c > 0 and took[c] >= 0:
+        i, n = took[c], many[c]
+        count[i] += n
+        c -= n * width[i]
     return float(best[capacity]), count
 
 
@@ -165,15 +171,24 @@ def cut(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end_
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
+def class_width(length: Column, capacity: int = CAPACITY, unit: int = UNIT) -> Column:
+    """What a piece is charged in the plan: its length, rounded up if long."""
+    step, size = F.lit(1), 2
+    while size <= unit:
+        step = F.when(length >= EXACT * size, size).otherwise(step)
+        size *= 2
+    return F.least(F.ceil(length / step) * step, F.lit(capacity)).cast("int")
+
+
 def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, unit: int = UNIT, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
     """The pieces of ``cut`` with their sequence_id and offset in it."""
-    width = F.ceil(F.col("length") / unit).cast("int")
+    width = class_width(F.col("length"), capacity, unit)
     cuts = stored(cut(docs, path, capacity, end_id, with_ids).withColumn("width", width))
     blocks = max(1, min(100_000, cuts.count() // 2000))
     cuts = cuts.withColumn("block", F.pmod(F.xxhash64("doc_id", "start"), F.lit(blocks)).cast("int"))
     counted = cuts.groupBy("block", "width").agg(F.count(F.lit(1)).alias("n"))
     histogram = {r["width"]: r["n"] for r in counted.groupBy("width").agg(F.sum("n").alias("n")).collect()}
-    places = Places(histogram, capacity // unit)
+    places = Places(histogram, capacity)
     before = Window.partitionBy("width").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     starts = counted.select("block", "width", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
     inside = Window.partitionBy("block", "width").orderBy("doc_id", "start", "ids_crc32")
