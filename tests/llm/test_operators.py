@@ -131,6 +131,70 @@ def test_substring_history(spark, docs):
     assert rows[2].n_removed > 0 and alone[2].n_removed == 0 and rows[3].text == "fresh words only"
 
 
+def thue_morse(k):
+    """Two unlike words of 2**k letters whose polynomial hashes modulo 2**64 agree in any odd base, for k >= 10."""
+    word = "a"
+    for _ in range(k):
+        word += word.translate(str.maketrans("ab", "ba"))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
+def with_equal_hashes(monkeypatch):
+    """Every word hash is one of four, so that only comparing words tells them apart."""
+    import numpy as np
+
+    from vectide.llm import text
+
+    monkeypatch.setattr(text, "slices", lambda data, start, size, seed=0: (size % 4).astype(np.uint64))
+
+
+@pytest.mark.parametrize("k", [10, 11, 12])
+def test_words_of_alike_structure_are_told_apart(spark, tmp_path, k):
+    import pyarrow as pa
+
+    from vectide.llm import substrings
+    from vectide.llm.tokens import WordTokenizer, default_tokenizer
+
+    one, two = thue_morse(k)
+    rest = " ".join(f"w{i}" for i in range(34))
+    docs = spark.createDataFrame([(1, f"{rest} {one}"), (2, f"{rest} {two}")], "doc_id long, text string")
+    assert [r.n_removed for r in substrings.remove_repeats(docs).collect()] == [0, 0]
+    history = substrings.index_run(docs.where("doc_id = 1"))
+    assert [r.n_removed for r in substrings.remove_repeats(docs, history=history).orderBy("doc_id").collect()] == [35, 0]
+    spark.createDataFrame([(1, f"{one} x"), (2, f"{two} x"), (3, f"{one} x")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert {r.doc_id: r.component_id for r in q.op4_minhash(spark, str(tmp_path)).collect()} == {1: 1, 2: 2, 3: 1}
+    own = WordTokenizer(default_tokenizer())
+    for _ in range(2):
+        ids, off = own.encode(pa.array([one, two]))
+        for i, t in enumerate((one, two)):
+            assert ids[off[i] : off[i + 1]].tolist() == own.tokenizer.encode(t, add_special_tokens=False).ids
+
+
+def test_near_duplicates_compare_shingles_not_hashes(monkeypatch):
+    import pyarrow as pa
+
+    from vectide.llm import neardup
+
+    with_equal_hashes(monkeypatch)
+    _, count, key = neardup.shingle_sets(pa.array(["aa bb cc", "bb cc dd", "cc bb aa bb cc", "aa bb cc", "AA bb cc bb", "", None, "one"]), 2)
+    assert count.tolist() == [2, 2, 4, 2, 3, 0, 0, 1]
+    keys = [tuple(x) for x in key.T.tolist()]
+    assert keys[0] == keys[3] and len(set(keys)) == 6
+
+
+def test_substring_windows_compare_words_not_hashes(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    from vectide.llm import substrings
+
+    with_equal_hashes(monkeypatch)
+    windows = substrings.Windows(pa.chunked_array([pa.array(["aa bb cc dd", "", "aa  bb\tcc ee", None])]), 3)
+    assert len(set(windows.hashes().tolist())) == 1
+    a, b, c, d = windows.digests(np.arange(4)).tolist()
+    assert a == c and len({a, b, d}) == 3
+
+
 def shingles(text, size):
     w = WORD.findall(lower(text or ""))
     if len(w) < size:

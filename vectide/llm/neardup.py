@@ -15,18 +15,23 @@ ROWS minimal hashes, and each (coordinate, value) is a token. Documents alike by
   Once leaders find little more, all members in different components are
   compared, in blocks inside the tasks, each pair in one of its lists;
 * pairs of fitting size with MATCHES equal coordinates are confirmed on the full
-  shingle sets.
+  sets of shingles, as words.
 
-Documents with equal sets form one class and take part once.
+Documents with equal sets form one class and take part once. A class is known by a
+128-bit cryptographic digest of all its shingles. Hashes only find candidates.
 
 Null and empty texts, and texts without a word, have no shingle and no link. A null
 doc_id joins the class of its set, if that has another member, and is else its
-own component. A doc_id stands for one text: rows that repeat it are one node.
+own component. A doc_id stands for one node: rows that repeat it are one node, whatever
+their texts. Ties (several least members) cannot occur, as a class has its least doc_id.
+Very long texts are read whole, one at a time. An empty table gives no rows; columns
+beyond doc_id and text are not read.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -34,15 +39,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vectide.llm.components import components, cut_lineage, free_shuffles
-from vectide.llm.tables import stored
-from vectide.llm.text import U64, Words, mix, pieces, prefix_sums, ranges
+from vectide.llm.tables import discard, stored, summed
+from vectide.llm.text import U64, Words, mix, pieces, spans
 
 #: a coordinate joins so many minimal hashes; signatures of alike documents share so many coordinates
 ROWS, COORDINATES, MATCHES = 2, 32, 6
 #: token counts that order the prefixes: at most so many hash buckets of one byte
 MOST_BITS = 24
-#: bits that tell which texts a confirmation needs
-WANTED_BITS = 23
+#: bits that tell which texts a confirmation needs, by their number; beyond the most, other texts travel too
+LEAST_WANTED, MOST_WANTED = 20, 27
 #: members of a leader that are compared in one group
 GROUP = 256
 #: turns with leaders at most, before all pairs left are compared
@@ -53,28 +58,40 @@ _XOR = mix(np.arange(1, ROWS * COORDINATES + 1, dtype=U64) * U64(0xA0761D6478BD6
 _ODD = mix(_XOR) | U64(1)
 
 
-def shingle_sets(column: pa.Array, size: int) -> list[np.ndarray]:
-    """Sorted distinct hashes of each text's runs of ``size`` words (of all its words, if fewer)."""
+def shingles(text: bytes, size: int) -> list[bytes]:
+    """The text's runs of ``size`` words in order (all its words, if fewer), A-Z as a-z, words joined by a space."""
+    words = text.lower().split()
+    if len(words) < size:
+        return [b" ".join(words)] if words else []
+    return list(map(b" ".join, zip(*(words[i:] for i in range(size)), strict=False)))
+
+
+def shingle_sets(column: pa.Array, size: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """Each text's sorted distinct shingle hashes, the number of its distinct shingles, and 128 bits of a digest of them.
+
+    The digest takes the shingles themselves, in order of their hashes (should two share
+    one, in their own order), so that equal sets and only those have equal digests.
+    """
     words = Words(column)
-    if not len(words):
-        return [np.zeros(0, U64)] * (len(words.off) - 1)
-    h = words.hashes(lower=True)
-    total = prefix_sums(h)
-    off = words.word_off
-    out = []
-    all_runs = ranges(total, np.arange(max(0, len(h) - size + 1)), np.arange(size, max(size, len(h) + 1)))
-    for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True):
+    hashes = spans(words.hashes(lower=True), size)
+    n = len(words.off) - 1
+    sets, count, key = [], np.zeros(n, np.int64), np.zeros((2, n), U64)
+    for i, (a, b) in enumerate(zip(words.word_off[:-1].tolist(), words.word_off[1:].tolist(), strict=True)):
+        found = shingles(words.data[words.off[i] : words.off[i + 1]].tobytes(), size)
         if b - a >= size:
-            out.append(np.unique(all_runs[a : b - size + 1]))
-        elif b > a:
-            out.append(ranges(total, np.array([a]), np.array([b])) ^ U64(b - a))
+            own, first = np.unique(hashes[a : b - size + 1], return_index=True)
         else:
-            out.append(np.zeros(0, U64))
-    return out
+            own, first = np.array([int.from_bytes(blake2b(x, digest_size=8).digest(), "little") for x in found], U64), np.arange(len(found))
+        different = set(found)
+        ordered = map(found.__getitem__, first.tolist()) if len(different) == len(own) else sorted(different)
+        sets.append(own)
+        count[i] = len(different)
+        key[:, i] = np.frombuffer(blake2b(b"\n".join(ordered), digest_size=16).digest(), "<u8")
+    return sets, count, key
 
 
-def signature(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Signatures (sets x coordinates) and a 128-bit key per set, for non-empty sets."""
+def signature(sets: list[np.ndarray]) -> np.ndarray:
+    """Signatures (sets x coordinates) of non-empty sets."""
     flat = np.concatenate(sets)
     first = np.cumsum([0, *map(len, sets)])[:-1]
     found = np.empty((len(sets), COORDINATES), np.int32)
@@ -85,8 +102,7 @@ def signature(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
             y ^= y >> U64(32)
             value = mix(value * U64(3) + np.minimum.reduceat(y, first))
         found[:, j] = (value >> U64(32)).astype(np.uint32).view(np.int32)
-    key = np.stack([np.add.reduceat(mix(flat), first), np.add.reduceat(mix(flat + U64(0x5851F42D4C957F2D)), first)])
-    return found, key
+    return found
 
 
 def signed(docs: DataFrame, size: int) -> DataFrame:
@@ -94,17 +110,15 @@ def signed(docs: DataFrame, size: int) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in pieces(batches, limit=1 << 20):
-            sets = shingle_sets(piece.column(1), size)
-            n = np.array([len(s) for s in sets])
+            sets, n, key = shingle_sets(piece.column(1), size)
             some = np.flatnonzero(n)
             found = np.zeros((len(n), COORDINATES), np.int32)
-            key = np.zeros((2, len(n)), U64)
             if len(some):
-                found[some], key[:, some] = signature([sets[i] for i in some])
+                found[some] = signature([sets[i] for i in some])
             offsets = np.cumsum([0, *np.where(n > 0, COORDINATES, 0)]).astype(np.int32)
             listed = pa.ListArray.from_arrays(pa.array(offsets), pa.array(found[some].reshape(-1)))
             yield pa.RecordBatch.from_arrays(
-                [piece.column(0), pa.array(n.astype(np.int64)), *(pa.array(k.view(np.int64)) for k in key), listed],
+                [piece.column(0), pa.array(n), *(pa.array(k.view(np.int64)) for k in key), listed],
                 ["doc_id", "n_shingles", "k1", "k2", "sig"],
             )
 
@@ -122,40 +136,26 @@ def _bucket(tokens: np.ndarray, bits: int) -> np.ndarray:
 
 
 def _frequencies(classes: DataFrame, bits: int) -> np.ndarray:
-    """How often each hash bucket of tokens occurs in all signatures, up to 255.
+    """How often each hash bucket of tokens occurs in all signatures: 8 times the binary logarithm of the count.
 
-    Tasks emit their counts packed, by blocks; blocks are added on the executors, and the
+    Tasks emit their counts packed, by blocks, which are added on the executors; the
     sums, of 2**bits bytes at most, come to the driver.
     """
-    block = 1 << min(bits, 16)
-
-    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zstandard
+    block = 1 << min(bits, 14)
 
+    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray]]:
         total = np.zeros(1 << bits, np.int32)
         for batch in batches:
             np.add.at(total, _bucket(_tokens(batch.column(0)), bits).reshape(-1), 1)
-        small = np.minimum(total, 255).astype(np.uint8)
-        deflate = zstandard.ZstdCompressor(level=1).compress
         for a in range(0, 1 << bits, block):
-            if small[a : a + block].any():
-                yield pa.RecordBatch.from_arrays([pa.array([a // block], pa.int32()), pa.array([deflate(small[a : a + block].tobytes())])], ["block", "counts"])
-
-    def add(key: tuple, table: pa.Table) -> pa.Table:
-        import zstandard
+            yield a // block, total[a : a + block]
 
-        inflate, total = zstandard.ZstdDecompressor().decompress, np.zeros(block, np.int64)
-        for x in table["counts"].to_pylist():
-            total += np.frombuffer(inflate(x), np.uint8)
-        packed = zstandard.ZstdCompressor(level=1).compress(np.minimum(total, 255).astype(np.uint8).tobytes())
-        return pa.table([pa.array([key[0].as_py()], pa.int32()), pa.array([packed])], names=["block", "counts"])
-
-    import zstandard
+    def level(total: np.ndarray) -> bytes:
+        return np.minimum(np.round(8 * np.log2(total + 1.0)), 255).astype(np.uint8).tobytes()
 
     out = np.zeros(1 << bits, np.uint8)
-    schema = "block int, counts binary"
-    for r in classes.select("sig").mapInArrow(count, schema).groupBy("block").applyInArrow(add, schema).collect():
-        out[r["block"] * block : (r["block"] + 1) * block] = np.frombuffer(zstandard.ZstdDecompressor().decompress(bytes(r["counts"])), np.uint8)
+    for k, counts in summed(classes.select("sig"), count, block, level):
+        out[k * block : (k + 1) * block] = np.frombuffer(counts, np.uint8)
     return out
 
 
@@ -183,28 +183,43 @@ def _postings(classes: DataFrame, n: int) -> DataFrame:
 
 
 def _still_open(lists: DataFrame, label: DataFrame | None) -> tuple[DataFrame, int]:
-    """The posting lists whose members lie in different components by now, and their size."""
-    now = lists.withColumn("component", F.col("cls"))
-    if label is not None:
-        now = lists.drop("component").join(label, lists["cls"] == label["node"], "left").select("token", "cls", "n", "mask", F.coalesce("component", "cls").alias("component"))
-    mixed = now.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("token")
+    """The posting lists whose members lie in different components by now, and their size.
+
+    Here and below, what is known of a token is written before it is joined to the
+    token's members, so that Spark can split a join on a frequent token.
+    """
+    if label is None:
+        now = stored(lists.withColumn("component", F.col("cls")))
+    else:
+        now = stored(lists.drop("component").join(label, lists["cls"] == label["node"], "left").select("token", "cls", "n", "mask", F.coalesce("component", "cls").alias("component")))
+        discard(lists)
+    mixed = stored(now.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("token"))
     kept = stored(now.join(mixed, "token"))
+    discard(now)
+    discard(mixed)
     return kept, kept.count()
 
 
 def _led(posted: DataFrame, order: Column) -> DataFrame:
-    """(a, b): each member of a list with the list's leader, where their components differ."""
-    leader = posted.groupBy("token").agg(F.min(F.struct(order.alias("o"), "cls", "n", "component")).alias("lead"))
+    """(a, b, na, nb, salts): each member of a list with the list's leader, where their components differ.
+
+    salts: so many bits of the member's hash cut the leader's members into groups of about GROUP.
+    """
+    leader = stored(
+        posted.groupBy("token").agg(
+            F.min(F.struct(order.alias("o"), "cls", "n", "component")).alias("lead"), F.greatest(F.ceil(F.log2(F.count(F.lit(1)) / GROUP)), F.lit(0)).cast("int").alias("salts")
+        )
+    )
     pairs = posted.join(leader, "token").where("component <> lead.component")
-    return pairs.select(F.col("lead.cls").alias("a"), F.col("cls").alias("b"), F.col("lead.n").alias("na"), F.col("n").alias("nb"))
+    return pairs.select(F.col("lead.cls").alias("a"), F.col("cls").alias("b"), F.col("lead.n").alias("na"), F.col("n").alias("nb"), "salts")
 
 
 def _blocks(posted: DataFrame) -> DataFrame:
     """Members of lists dealt to blocks of about BLOCK, a row for each pair of blocks (i <= j) that needs the member."""
-    size = posted.groupBy("token").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    size = stored(posted.groupBy("token").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")))
     own = F.pmod(F.xxhash64("cls", F.lit(99)), F.col("blocks")).cast("int")
     dealt = posted.join(size, "token").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return dealt.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")}).drop("blocks", "other")
+    return dealt.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")}).drop("other")
 
 
 def _candidates(table: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -235,24 +250,28 @@ def _candidates(table: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _residual(posted: DataFrame, classes: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """All links between members of a list in different components.
+    """Links that join all members of a list which links of its members can join.
 
     Candidates are found inside the tasks. Lists with few of them emit pairs, confirmed like
     the leaders'. A list with many, a cloud of documents around the threshold, gets its
-    members' texts instead, and its tasks emit links alone.
+    members' texts instead, and its tasks emit links alone: of each block those that join
+    members not yet joined.
     """
     rows = _blocks(posted.join(classes.select("cls", "sig"), "cls"))
-    columns = ["token", "i", "j", "own", "cls", "n", "mask", "component", "sig"]
+    columns = ["token", "i", "j", "own", "cls", "n", "mask", "component", "sig", "blocks"]
+    #: a member's pairs in a block, at most DENSE * 2 * BLOCK, are confirmed in groups too
+    more = max(0, int(np.ceil(np.log2(BLOCK / GROUP))))
 
     def sparse(key: tuple, table: pa.Table) -> pa.Table:
         x, y = _candidates(table, percent)
         cls = table["cls"].to_numpy()
         many = len(x) > DENSE * table.num_rows
         a, b = ([None], [None]) if many else (cls[x], cls[y])
-        return pa.table([pa.array([key[0].as_py()] * len(a), pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["token", "a", "b"])
+        salts = more + int(table["blocks"][0].as_py()).bit_length() - 1
+        return pa.table([pa.array([key[0].as_py()] * len(a), pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array([salts] * len(a), pa.int32())], names=["token", "a", "b", "salts"])
 
-    found = stored(rows.select(*columns).groupBy("token", "i", "j").applyInArrow(sparse, "token long, a long, b long"))
-    links = _confirmed(found.where("a IS NOT NULL").select("a", "b"), docs, size, percent)
+    found = stored(rows.select(*columns).groupBy("token", "i", "j").applyInArrow(sparse, "token long, a long, b long, salts int"))
+    links = _confirmed(found.where("a IS NOT NULL").select("a", "b", "salts"), docs, size, percent)
     clouds = found.where("a IS NULL").select("token").distinct()
     if clouds.isEmpty():
         return links
@@ -264,94 +283,118 @@ def _residual(posted: DataFrame, classes: DataFrame, docs: DataFrame, size: int,
 
         x, y = _candidates(table, percent)
         inflate = zstandard.ZstdDecompressor().decompress
-        sets = shingle_sets(pa.array([inflate(p).decode() for p in table["packed"].to_pylist()], pa.large_string()), size)
-        hit = np.zeros(len(x), bool)
-        for k, (p, q) in enumerate(zip(x.tolist(), y.tolist(), strict=True)):
-            both = len(np.intersect1d(sets[p], sets[q], assume_unique=True))
-            hit[k] = 100 * both >= percent * (len(sets[p]) + len(sets[q]) - both)
+        number = Numbers()
+        sets = [number.all(shingles(inflate(p), size)) for p in table["packed"].to_pylist()]
+        root = list(range(len(sets)))
+        links = []
+        for p, q in zip(x.tolist(), y.tolist(), strict=True):
+            at, to = _root(root, p), _root(root, q)
+            if at != to:
+                both = len(np.intersect1d(sets[p], sets[q], assume_unique=True))
+                if 100 * both >= percent * (len(sets[p]) + len(sets[q]) - both):
+                    root[at] = to
+                    links.append((p, q))
         cls = table["cls"].to_numpy()
-        return pa.table([pa.array(cls[x[hit]]), pa.array(cls[y[hit]])], names=["a", "b"])
+        hit = np.array(links, int).reshape(-1, 2)
+        return pa.table([pa.array(cls[hit[:, 0]]), pa.array(cls[hit[:, 1]])], names=["a", "b"])
 
     return links.union(members.join(texts.dropDuplicates(["cls"]), "cls").select(*columns, "packed").groupBy("token", "i", "j").applyInArrow(dense, "a long, b long"))
 
 
+class Numbers(dict):
+    """Numbers for shingles, each its own."""
+
+    def __missing__(self, key: bytes) -> int:
+        number = self[key] = len(self)
+        return number
+
+    def all(self, found: list[bytes]) -> np.ndarray:
+        return np.unique(np.fromiter(map(self.__getitem__, found), np.int64, len(found)))
+
+
+def _root(root: list[int], x: int) -> int:
+    while root[x] != x:
+        root[x] = root[root[x]]
+        x = root[x]
+    return x
+
+
 def _matching(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """Distinct pairs of fitting sizes whose signatures agree in MATCHES coordinates."""
-    fits = pairs.where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).select("a", "b").distinct()
+    fits = pairs.where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).groupBy("a", "b").agg(F.max("salts").alias("salts"))
     of = {x: classes.select(F.col("cls").alias(x), F.col("sig").alias(f"s{x}")) for x in "ab"}
     agree = F.aggregate(F.zip_with("sa", "sb", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
-    return fits.join(of["b"], "b").join(of["a"], "a").where(agree >= MATCHES).select("a", "b")
+    return fits.join(of["b"], "b").join(of["a"], "a").where(agree >= MATCHES).select("a", "b", "salts")
 
 
-def _wanted(ids: DataFrame) -> np.ndarray:
-    """A bit for the hash of every id in column cls: 2**WANTED_BITS bits, whatever their number."""
+def _wanted(ids: DataFrame, bits: int) -> np.ndarray:
+    """2**bits bits, packed: those set that the hash of an id in column cls points to."""
 
     def mark(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
-        bits = np.zeros(1 << WANTED_BITS, bool)
+        own = np.zeros(1 << bits >> 3, np.uint8)
         for batch in batches:
-            bits[_bit(batch.column(0))] = True
-        yield pa.RecordBatch.from_arrays([pa.array([zstandard.ZstdCompressor(level=1).compress(np.packbits(bits).tobytes())])], ["bits"])
+            at = _bit(batch.column(0), bits)
+            np.bitwise_or.at(own, at >> 3, np.left_shift(1, at & 7).astype(np.uint8))
+        yield pa.RecordBatch.from_arrays([pa.array([zstandard.ZstdCompressor(level=1).compress(own.tobytes())])], ["bits"])
 
     import zstandard
 
-    total = np.zeros(1 << (WANTED_BITS - 3), np.uint8)
+    total = np.zeros(1 << bits >> 3, np.uint8)
     for r in ids.coalesce(16).mapInArrow(mark, "bits binary").collect():
         total |= np.frombuffer(zstandard.ZstdDecompressor().decompress(bytes(r["bits"])), np.uint8)
-    return np.unpackbits(total).astype(bool)
+    return total
 
 
-def _bit(ids: pa.Array) -> np.ndarray:
-    return (mix(ids.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64).view(U64)) >> U64(64 - WANTED_BITS)).astype(np.int64)
+def _bit(ids: pa.Array, bits: int) -> np.ndarray:
+    return (mix(ids.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64).view(U64)) >> U64(64 - bits)).astype(np.int64)
 
 
 def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """cls, and the text compressed, of the documents with these ids (and a few others)."""
-    sent = docs.sparkSession.sparkContext.broadcast(np.packbits(_wanted(ids)))
+    bits = min(MOST_WANTED, max(LEAST_WANTED, (16 * ids.count()).bit_length()))
+    sent = docs.sparkSession.sparkContext.broadcast(_wanted(ids, bits))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
-        bits = np.unpackbits(sent.value).astype(bool)
         deflate = zstandard.ZstdCompressor(level=3).compress
         for batch in batches:
-            part = batch.filter(pa.array(bits[_bit(batch.column(0))]))
+            at = _bit(batch.column(0), bits)
+            part = batch.filter(pa.array((sent.value[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)))
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array([deflate((t or "").encode()) for t in part.column(1).to_pylist()], pa.binary())], ["cls", "packed"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "cls long, packed binary")
 
 
 def _confirmed(matched: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs whose sets are alike by percent/100; a is the leader that many b may share."""
-    salts = matched.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / GROUP).cast("int").alias("groups"))
-    dealt = matched.join(salts, "a").withColumn("salt", F.pmod(F.xxhash64("b"), "groups").cast("int"))
-    asked = dealt.select(F.col("b").alias("cls"), "a", "salt", F.lit(True).alias("member")).union(
-        salts.select(F.col("a").alias("cls"), "a", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("salt"), F.lit(False).alias("member"))
-    )
+    """The pairs (a, b, salts) whose sets are alike by percent/100, shingle by shingle; many b may share a, the leader."""
+    salt = F.expr("xxhash64(b) & (shiftleft(1L, salts) - 1)")
+    dealt = matched.withColumn("salt", salt)
+    asked = dealt.select(F.col("b").alias("cls"), "a", "salts", "salt", F.lit(True).alias("member"))
+    asked = asked.union(dealt.select(F.col("a").alias("cls"), "a", "salts", "salt", F.lit(False).alias("member")).distinct())
     texts = _texts(docs, matched.select(F.explode(F.array("a", "b")).alias("cls")))
-    rows = asked.join(texts, "cls").select("a", "salt", "member", "cls", "packed")
-    rows = rows.repartition("a", "salt").sortWithinPartitions("a", "salt", "member")
+    rows = asked.join(texts, "cls").select("a", "salts", "salt", "member", "cls", "packed")
+    rows = rows.repartition("a", "salts", "salt").sortWithinPartitions("a", "salts", "salt", "member")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
         inflate = zstandard.ZstdDecompressor().decompress
-        lead: np.ndarray | None = None
+        lead: set[bytes] = set()
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                a, _, member, cls, packed = (c.to_pylist() for c in part.columns)
-                sets = shingle_sets(pa.array([inflate(p).decode() for p in packed], pa.large_string()), size)
-                links = []
-                for x, m, y, s in zip(a, member, cls, sets, strict=True):
-                    if not m:
-                        lead = s
-                        continue
-                    both = len(np.intersect1d(lead, s, assume_unique=True))
-                    if 100 * both >= percent * (len(lead) + len(s) - both):
-                        links.append((x, y))
-                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], pa.int64()), pa.array([y for _, y in links], pa.int64())], ["a", "b"])
+            links = []
+            a, _, _, member, cls = (c.to_pylist() for c in batch.columns[:5])
+            for x, m, y, packed in zip(a, member, cls, batch.column(5), strict=True):
+                own = set(shingles(inflate(packed.as_py()), size))
+                if not m:
+                    lead = own
+                    continue
+                both = len(lead & own)
+                if 100 * both >= percent * (len(lead) + len(own) - both):
+                    links.append((x, y))
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], pa.int64()), pa.array([y for _, y in links], pa.int64())], ["a", "b"])
 
     return rows.mapInArrow(run, "a long, b long")
 

@@ -8,18 +8,25 @@ Documents are dealt to hash groups. A group posts the distinct hashes of its
 windows to hash buckets, as sorted runs. In a bucket the runs of batch after
 batch are merge-joined with the historical runs, which are compacted by tiers;
 the flags "seen again" go back to the groups as bits in the order of their
-runs. Found windows are verified: a second round posts an independent 64-bit
-hash of the flagged windows only, and a window counts if that repeats as well.
+runs. Found windows are verified: a second round posts a cryptographic digest of
+the words of the flagged windows only, and a window counts if that repeats as well.
 
 A common passage is posted once by each group that holds it, whatever the
-number of its copies. Runs of earlier tables may be given as ``history``: their
-windows count as seen, on the first hash alone. Null and empty texts have no words.
+number of its copies. Runs of earlier tables, of both rounds, may be given as
+``history``: their windows count as seen.
+
+Null and empty texts have no words. Repeated rows, with or without an id, are
+documents of their own, so their windows are repeats. A text of any length is one
+document of one group. An empty table gives no rows; columns beyond doc_id and text are
+not read. ``docs`` must be a table or read back from one: its rows are dealt anew
+in each round and must come in the same partitions.
 """
 
 from __future__ import annotations
 
 import hashlib
 import math
+from hashlib import blake2b
 from itertools import compress
 
 import numpy as np
@@ -29,11 +36,11 @@ from pyspark.sql import functions as F
 
 from vectide.llm import runs
 from vectide.llm.tables import grouped, groups_for
-from vectide.llm.text import U64, Words, prefix_sums, ranges
+from vectide.llm.text import U64, Words, spans
 
 SIZE = 35
-#: bits of the first hash, which finds, and of the second, which verifies
-FIND_BITS, VERIFY_BITS = 48, 64
+#: bits of the hash that finds windows, and of the digest that verifies them
+FIND_BITS, VERIFY_BITS = 56, 64
 
 
 class Windows:
@@ -50,10 +57,22 @@ class Windows:
         np.add.at(start, off[1:][some] - size + 1, -1)
         self.start = np.flatnonzero(np.cumsum(start[:-1]))
 
-    def hashes(self, seed: int, keep_bits: int, only: np.ndarray | None = None) -> np.ndarray:
-        start = self.start if only is None else self.start[only]
-        h = ranges(prefix_sums(self.words.hashes(seed=seed)), start, start + self.size)
-        return h >> U64(64 - keep_bits)
+    def hashes(self) -> np.ndarray:
+        return spans(self.words.hashes(), self.size)[self.start] >> U64(64 - FIND_BITS)
+
+    def digests(self, only: np.ndarray) -> np.ndarray:
+        """Of the words of each chosen window, joined by one space: the first bits of their BLAKE2b digest."""
+        start, off = self.start[only], self.words.off
+        out = np.zeros(len(start), U64)
+        cut = np.searchsorted(start, self.words.word_off)
+        for i in np.flatnonzero(np.diff(cut)).tolist():
+            words = self.words.data[off[i] : off[i + 1]].tobytes().split()
+            text = b" ".join(words)
+            at = np.cumsum([0, *map(len, words)]) + np.arange(len(words) + 1)
+            first = start[cut[i] : cut[i + 1]] - self.words.word_off[i]
+            found = [blake2b(text[a:b], digest_size=VERIFY_BITS // 8).digest() for a, b in zip(at[first].tolist(), (at[first + self.size] - 1).tolist(), strict=True)]
+            out[cut[i] : cut[i + 1]] = np.frombuffer(b"".join(found), "<u8")
+        return out
 
 
 def _flagged(keys: np.ndarray, answers: dict[int, bytes], bucket_bits: int, key_bits: int) -> np.ndarray:
@@ -108,14 +127,22 @@ def _merge(phase: int):
 ANSWER = "g long, bucket int, phase int, answer binary"
 
 
+RUN = f"{runs.POST}, phase int"
+
+
 def index_run(docs: DataFrame, size: int = SIZE, bucket_bits: int = 8, history: DataFrame | None = None) -> DataFrame:
-    """One compacted run per bucket of a table's windows (and of ``history``), to be kept as later tables' history."""
+    """Compacted runs per bucket of a table's windows (and of ``history``), to be kept as later tables' history.
+
+    Phase 1 has the hashes, phase 2 the digests.
+    """
     dealt = grouped(docs, groups_for(docs))
 
     def post(key: tuple, table: pa.Table) -> pa.Table:
-        return _posted(key[0].as_py(), Windows(table["text"], size).hashes(1, FIND_BITS), bucket_bits, FIND_BITS)
+        windows, g = Windows(table["text"], size), key[0].as_py()
+        both = (_posted(g, windows.hashes(), bucket_bits, FIND_BITS), _posted(g, windows.digests(np.arange(len(windows.start))), bucket_bits, VERIFY_BITS))
+        return pa.concat_tables([t.append_column("phase", pa.array([i + 1] * t.num_rows, pa.int32())) for i, t in enumerate(both)])
 
-    posted = dealt.groupBy("g").applyInArrow(post, runs.POST)
+    posted = dealt.groupBy("g").applyInArrow(post, RUN)
     if history is not None:
         posted = posted.unionByName(history)
 
@@ -124,9 +151,10 @@ def index_run(docs: DataFrame, size: int = SIZE, bucket_bits: int = 8, history:
         for k, again in runs.batches_of(table["keys"].to_pylist(), table["extra"].to_pylist()):
             index.ingest(k, again)
         known, again = index.compact()
-        return pa.table([pa.array([-1], pa.int64()), pa.array([key[0].as_py()], pa.int32()), pa.array([runs.pack(known)], pa.binary()), pa.array([runs.bits(again)], pa.binary())], names=["g", "bucket", "keys", "extra"])
+        bucket, phase = (pa.array([k.as_py()], pa.int32()) for k in key)
+        return pa.table([pa.array([-1], pa.int64()), bucket, pa.array([runs.pack(known)], pa.binary()), pa.array([runs.bits(again)], pa.binary()), phase], names=["g", "bucket", "keys", "extra", "phase"])
 
-    return posted.groupBy("bucket").applyInArrow(compact, runs.POST)
+    return posted.groupBy("bucket", "phase").applyInArrow(compact, RUN)
 
 
 def remove_repeats(docs: DataFrame, size: int = SIZE, history: DataFrame | None = None, bucket_bits: int | None = None, with_text: bool = False) -> DataFrame:
@@ -137,25 +165,26 @@ def remove_repeats(docs: DataFrame, size: int = SIZE, history: DataFrame | None
     groups = groups_for(docs)
     bits = bucket_bits or max(8, math.ceil(math.log2(groups)))
     dealt = grouped(docs, groups)
-    verified = history is None
+
+    def earlier(posted: DataFrame, phase: int) -> DataFrame:
+        return posted if history is None else posted.unionByName(history.where(F.col("phase") == phase).drop("phase"))
 
     def find(key: tuple, table: pa.Table) -> pa.Table:
-        return _posted(key[0].as_py(), Windows(table["text"], size).hashes(1, FIND_BITS), bits, FIND_BITS)
+        return _posted(key[0].as_py(), Windows(table["text"], size).hashes(), bits, FIND_BITS)
 
     def found(table: pa.Table, answers: pa.Table) -> tuple[Windows, np.ndarray]:
         windows = Windows(table["text"], size)
-        h = windows.hashes(1, FIND_BITS)
+        h = windows.hashes()
         return windows, np.flatnonzero(_among(h, _flagged(np.unique(h), _answers(answers, 1), bits, FIND_BITS)))
 
     def verify(key: tuple, table: pa.Table, answers: pa.Table) -> pa.Table:
         windows, hit = found(table, answers)
-        return _posted(key[0].as_py(), windows.hashes(2, VERIFY_BITS, hit), bits, VERIFY_BITS)
+        return _posted(key[0].as_py(), windows.digests(hit), bits, VERIFY_BITS)
 
     def finish(key: tuple, table: pa.Table, answers: pa.Table) -> pa.Table:
         windows, hit = found(table, answers)
-        if verified:
-            h = windows.hashes(2, VERIFY_BITS, hit)
-            hit = hit[_among(h, _flagged(np.unique(h), _answers(answers, 2), bits, VERIFY_BITS))]
+        h = windows.digests(hit)
+        hit = hit[_among(h, _flagged(np.unique(h), _answers(answers, 2), bits, VERIFY_BITS))]
         edge = np.zeros(len(windows.words) + 1, np.int32)
         np.add.at(edge, windows.start[hit], 1)
         np.add.at(edge, windows.start[hit] + size, -1)
@@ -176,12 +205,8 @@ def remove_repeats(docs: DataFrame, size: int = SIZE, history: DataFrame | None
         names = ["doc_id", "n_words", "n_removed", "kept_sha256"]
         return pa.table([*columns, pa.array(texts, pa.string())] if with_text else columns, names=[*names, "text"] if with_text else names)
 
-    posted = dealt.groupBy("g").applyInArrow(find, runs.POST)
-    if history is not None:
-        posted = posted.unionByName(history)
-    answers = posted.groupBy("bucket").applyInArrow(_merge(1), ANSWER)
-    if verified:
-        again = dealt.groupBy("g").cogroup(answers.groupBy("g")).applyInArrow(verify, runs.POST)
-        answers = answers.union(again.groupBy("bucket").applyInArrow(_merge(2), ANSWER))
+    answers = earlier(dealt.groupBy("g").applyInArrow(find, runs.POST), 1).groupBy("bucket").applyInArrow(_merge(1), ANSWER)
+    again = dealt.groupBy("g").cogroup(answers.groupBy("g")).applyInArrow(verify, runs.POST)
+    answers = answers.union(earlier(again, 2).groupBy("bucket").applyInArrow(_merge(2), ANSWER))
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", text string" * with_text
     return dealt.groupBy("g").cogroup(answers.groupBy("g")).applyInArrow(finish, schema)

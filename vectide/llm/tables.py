@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,27 +20,39 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one is made where none is set."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that driver and executors share: spark.checkpoint.dir, or the one set on the context.
+
+    In local mode, where all share one disk, one is made if none is set; elsewhere that is an error.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='vectide-')}")
         folder = spark.sparkContext.getCheckpointDir()
-        if not folder:
-            spark.sparkContext.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='vectide-')}")
-            folder = spark.sparkContext.getCheckpointDir()
     return folder
 
 
 def stored(df: DataFrame) -> DataFrame:
     """``df``, written once to the shared folder and read back: lineage ends here and survives lost executors.
 
-    The table is deleted when the application ends.
+    The table is deleted by ``discard``, or when the application ends.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/stored-{uuid.uuid4().hex}"
     df.write.parquet(path)
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete what ``stored`` wrote for this DataFrame, once nothing reads it any more."""
+    spark = df.sparkSession
+    place = spark._jvm.org.apache.hadoop.fs.Path(df.stored_at)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def remainder(doc_id: Column, by: int) -> Column:
@@ -51,7 +67,56 @@ def groups_for(docs: DataFrame, group_bytes: int = 6 << 20, least_docs: int = 50
 
 
 def grouped(docs: DataFrame, groups: int) -> DataFrame:
-    """doc_id and text, dealt to ``groups`` hash groups of documents (column g) that stay together."""
-    key = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id"), F.lit(-1)), F.length("text")), F.lit(groups))
+    """doc_id and text, dealt to ``groups`` hash groups of documents (column g) that stay together.
+
+    Repeated rows are dealt by the partition that they come from as well, so they fill no group.
+    """
+    key = F.pmod(F.xxhash64("doc_id", "text", F.spark_partition_id()), F.lit(groups))
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(groups // 2, 20000), 1)
     return docs.select(key.alias("g"), "doc_id", "text").repartition(parts, "g")
+
+
+#: blocks that one task adds up
+FAN = 64
+
+
+def summed(rows: DataFrame, count: Callable[[Iterable[pa.RecordBatch]], Iterator[tuple[int, np.ndarray]]], size: int, shown: Callable[[np.ndarray], bytes]) -> Iterator[tuple[int, bytes]]:
+    """Sums of the blocks (number, ``size`` integers) that ``count`` yields in the tasks, each as ``shown`` gives it.
+
+    Blocks travel packed. FAN tasks' blocks of a number are added at a time, in as many rounds
+    as it takes, so that no task holds more than those. The last sums come to the driver.
+    """
+    import zstandard
+
+    def packed(block: np.ndarray) -> bytes:
+        kind = np.min_scalar_type(int(block.max(initial=0)))
+        return bytes([kind.itemsize]) + zstandard.ZstdCompressor(level=1).compress(block.astype(kind).tobytes())
+
+    def unpacked(raw: bytes) -> np.ndarray:
+        return np.frombuffer(zstandard.ZstdDecompressor().decompress(raw[1:]), f"<u{raw[0]}")
+
+    def emit(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task = TaskContext.get().partitionId()
+        for number, block in count(batches):
+            if block.any():
+                yield pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), pa.array([task], pa.int32()), pa.array([packed(block)], pa.binary())], ["number", "task", "counts"])
+
+    def add(key: tuple, table: pa.Table) -> pa.Table:
+        total = np.zeros(size, np.uint64)
+        for raw in table["counts"].to_pylist():
+            total += unpacked(raw)
+        return pa.table([pa.array([k.as_py()], pa.int32()) for k in key] + [pa.array([packed(total)], pa.binary())], names=["number", "task", "counts"])
+
+    schema = "number int, task int, counts binary"
+    tasks = rows.rdd.getNumPartitions()
+    parts = rows.mapInArrow(emit, schema)
+    while tasks > 1:
+        parts = parts.groupBy("number", F.floor(F.col("task") / FAN).cast("int").alias("task")).applyInArrow(add, schema)
+        tasks = -(-tasks // FAN)
+
+    def show(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shown(unpacked(x)) for x in batch.column(2).to_pylist()], pa.binary())], ["number", "shown"])
+
+    for r in parts.mapInArrow(show, "number int, shown binary").collect():
+        yield r["number"], bytes(r["shown"])

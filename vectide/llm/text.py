@@ -8,7 +8,6 @@ points. Null texts count as empty throughout.
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -24,8 +23,9 @@ _IS_PUNCT[48:58] = _IS_PUNCT[65:91] = _IS_PUNCT[97:123] = _IS_PUNCT[128:] = Fals
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
-_BASE = 0x9E3779B97F4A7C15
-_BASE_INV = pow(_BASE, -1, 1 << 64)
+_MUL = U64(0x9E3779B97F4A7C15)
+#: masks of the first 0..8 bytes of a little-endian number
+_MASK = np.array([(1 << 8 * i) - 1 for i in range(9)], U64)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -38,38 +38,45 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-@lru_cache(maxsize=8)
-def _byte_table(seed: int, lower: bool) -> np.ndarray:
-    table = mix(np.arange(1, 257, dtype=U64) * U64(0xD6E8FEB86659FD93) + U64(seed))
-    return table[LOWER] if lower else table
+def eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as one number; zeros follow the last byte."""
+    filled = np.concatenate([data, np.zeros(8, np.uint8)])
+    return np.ndarray((len(data) + 1,), "<u8", filled, strides=(1,))
 
 
-_POWERS: dict[int, np.ndarray] = {}
+def slices(data: np.ndarray, start: np.ndarray, size: np.ndarray, seed: int = 0) -> np.ndarray:
+    """A 64-bit hash of data[start:start + size] for each pair.
 
-
-def powers(n: int, base: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64, kept for reuse."""
-    have = _POWERS.get(base)
-    if have is None or len(have) < n:
-        size = max(n, 1 << 16)
-        out = np.full(size, base, U64)
-        out[0] = 1
-        have = np.cumprod(out, dtype=U64)
-        _POWERS[base] = have
-    return have[:n]
-
-
-def prefix_sums(values: np.ndarray) -> np.ndarray:
-    """Running polynomial sums, for ``ranges``."""
-    n = len(values)
-    total = np.zeros(n + 1, U64)
-    np.cumsum(values * powers(n, _BASE), out=total[1:])
-    return total
-
-
-def ranges(total: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Hash of values[start:end] for each pair, independent of where it lies."""
-    return mix((total[end] - total[start]) * powers(len(total), _BASE_INV)[start])
+    Each eight bytes are mixed with their place and the results added, so no algebra of the
+    bytes carries over. Equal hashes are a strong hint only: what must be exact compares bytes.
+    """
+    all_eights = eights(data)
+    salt = U64((seed * 0xD6E8FEB86659FD93 + 0x5851F42D4C957F2D) & 0xFFFFFFFFFFFFFFFF)
+    total = mix((all_eights[start] & _MASK[np.minimum(size, 8)]) + salt)
+    long = np.flatnonzero(size > 8)
+    if len(long):
+        more = (size[long] + 7) // 8 - 1
+        group, place = ragged(more)
+        at = start[long][group] + 8 * (place + 1)
+        left = np.minimum(size[long][group] - 8 * (place + 1), 8)
+        part = mix((all_eights[at] & _MASK[left]) + mix(salt + (place + 1).astype(U64) * _MUL))
+        total[long] += np.add.reduceat(part, np.cumsum(more) - more)
+    return mix(total + size.astype(U64) * _MUL)
+
+
+def spans(h: np.ndarray, size: int) -> np.ndarray:
+    """A hash of every ``size`` values in a row, by joining halves: len(h) - size + 1 of them."""
+    n = max(0, len(h) - size + 1)
+    out, at, width = None, 0, 1
+    while at < size:
+        if size & width:
+            part = h[at : at + n]
+            out = part if out is None else mix(out * _MUL + (part ^ U64(width)))
+            at += width
+        if at < size:
+            h = mix(h[: max(0, len(h) - width)] * _MUL + (h[width:] ^ U64(width)))
+            width *= 2
+    return out
 
 
 class Words:
@@ -100,7 +107,6 @@ class Words:
         last[edge[1:] - 1] = inside[edge[1:] - 1]
         self.start = np.flatnonzero(first)
         self.end = np.flatnonzero(last) + 1
-        self._sums: tuple[tuple[int, bool], np.ndarray] | None = None
         #: words of text i are word_off[i] .. word_off[i + 1]
         self.word_off = np.searchsorted(self.start, self.off)
 
@@ -118,10 +124,10 @@ class Words:
 
     def hashes(self, lower: bool = False, seed: int = 0, only: np.ndarray | None = None, size: int = 0) -> np.ndarray:
         """One 64-bit hash per word; with lower, A-Z count as a-z. With ``only``, of the first ``size`` bytes of those words."""
-        if self._sums is None or self._sums[0] != (seed, lower):
-            self._sums = (seed, lower), prefix_sums(_byte_table(seed, lower)[self.data])
-        start = self.start if only is None else self.start[only]
-        return ranges(self._sums[1], start, self.end if only is None else start + size)
+        data = LOWER[self.data] if lower else self.data
+        if only is None:
+            return slices(data, self.start, self.end - self.start, seed)
+        return slices(data, self.start[only], np.full(len(only), size), seed)
 
     def word(self, i: int) -> bytes:
         return self.data[self.start[i] : self.end[i]].tobytes()

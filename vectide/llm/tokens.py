@@ -3,8 +3,9 @@
 For a tokenizer whose normaliser and pre-tokenizer never join text across
 white space (the word BPE: NFC, white space dropped, lower case), a text's ids
 are those of its white-space separated words in a row. Words repeat, so each
-worker keeps the ids of words it has met in a table of fixed size and encodes
-only the others. Texts that hold an added token's string are encoded whole.
+worker keeps the ids of words it has met, by the words themselves, in a table of
+bounded size and encodes only the others. Texts that hold an added token's string
+are encoded whole.
 """
 
 from __future__ import annotations
@@ -14,9 +15,10 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 
-from vectide.llm.text import U64, Words, ragged
+from vectide.llm.text import Words, ragged
 
-SLOT_BITS, KEPT_IDS = 21, 8 << 20
+#: words whose ids a worker keeps, and the bytes of the longest
+KEPT, LONGEST = 1 << 17, 64
 
 
 def default_tokenizer() -> str:
@@ -25,6 +27,18 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+class Numbered(dict):
+    """Numbers of words in the order in which they were met; ``new`` gathers those not met before."""
+
+    def __init__(self) -> None:
+        self.new: list[bytes] = []
+
+    def __missing__(self, word: bytes) -> int:
+        self.new.append(word)
+        number = self[word] = len(self)
+        return number
+
+
 class WordTokenizer:
     def __init__(self, path: str):
         import os
@@ -37,59 +51,42 @@ class WordTokenizer:
         self.clear()
 
     def clear(self) -> None:
-        self.key = np.zeros(1 << SLOT_BITS, U64)
-        self.first = np.zeros(1 << SLOT_BITS, np.int32)
-        self.count = np.zeros(1 << SLOT_BITS, np.int32)
-        self.ids = np.zeros(1 << 16, np.uint32)
-        self.used = 0
+        """Forget all words."""
+        self.known = Numbered()
+        self.first, self.count = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.ids = np.zeros(0, np.uint32)
 
     def _encode(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _add(self, ids: np.ndarray) -> int:
-        """Store ids; their place."""
-        while self.used + len(ids) > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        self.ids[self.used : self.used + len(ids)] = ids
-        self.used += len(ids)
-        return self.used - len(ids)
-
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, and each text's range in them (n + 1 offsets)."""
         words = Words(column)
         n = len(words.off) - 1
         if not len(words):
             return np.zeros(0, np.uint32), np.zeros(n + 1, np.int64)
-        if self.used > KEPT_IDS:
+        if len(self.known) > KEPT:
+            self.clear()
+        data, off = words.data, words.off.tolist()
+        texts = (data[a:b].tobytes().split() for a, b in zip(off[:-1], off[1:], strict=True))
+        at = np.concatenate([np.fromiter(map(self.known.__getitem__, text), np.int64, len(text)) for text in texts])
+        if new := self.known.new:
+            more, lens = self._words([w.decode() for w in new])
+            self.first = np.concatenate([self.first, len(self.ids) + np.cumsum(lens) - lens])
+            self.count, self.ids = np.concatenate([self.count, lens]), np.concatenate([self.ids, more])
+            self.known.new = []
+        first, count, ids = self.first[at], self.count[at], self.ids
+        if new and max(map(len, new)) > LONGEST:
             self.clear()
-        h = words.hashes() | U64(1)
-        one = (h >> U64(64 - SLOT_BITS)).astype(np.int64)
-        two = ((h * U64(0x9E3779B97F4A7C15)) >> U64(64 - SLOT_BITS)).astype(np.int64)
-        slot = np.where(self.key[one] == h, one, two)
-        hit = self.key[slot] == h
-        first, count = self.first[slot], self.count[slot]
-        miss = np.flatnonzero(~hit)
-        if len(miss):
-            keys, where, back = np.unique(h[miss], return_index=True, return_inverse=True)
-            ids, lens = self._words(words, miss[where])
-            base = self._add(ids)
-            starts = base + np.cumsum(lens) - lens
-            first[miss], count[miss] = starts[back], lens[back]
-            s1, s2 = one[miss[where]], two[miss[where]]
-            target = np.where(self.key[s1] == 0, s1, s2)
-            self.key[target], self.first[target], self.count[target] = keys, starts, lens
-            # of words that fell on one slot the last stays; the three writes agree on which
         group, place = ragged(count)
-        ids = self.ids[first[group] + place]
-        per_text = np.concatenate([[0], np.cumsum(count)])[words.word_off]
-        return self._whole(column, words, ids, per_text)
+        out = ids[first[group] + place]
+        return self._whole(column, words, out, np.concatenate([[0], np.cumsum(count)])[words.word_off])
 
-    def _words(self, words: Words, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _words(self, text: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of these words in a row, and how many each has.
 
         Words are encoded in long lines. Token offsets tell the words apart.
         """
-        text = [words.word(i).decode() for i in which]
         lens = np.zeros(len(text), np.int64)
         out: list[np.ndarray] = []
         for a in range(0, len(text), 4096):
