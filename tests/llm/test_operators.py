@@ -452,9 +452,8 @@ def test_mixture_bits_are_a_distribution():
     from vectide.llm import mixture
     from vectide.llm.text import Words
 
-    counts = np.zeros((mixture.TABLES, 1 << mixture.BITS, 2), np.int32)
-    code = mixture.Code.of(np.ones(256, int))
-    model = mixture.Model.of(code, counts)
+    code = mixture.Code.fixed()
+    model = mixture.Model.of(code, 16, [])
     one = [bytes([b]).decode("latin-1") for b in range(33, 127) if not 65 <= b <= 90]
     words = Words(pa.array([" ".join(one)]))
     scores = model.word_scores(words, np.arange(len(words)))
@@ -473,26 +472,84 @@ def test_mixture_sees_the_order_of_words(spark):
     assert scores[1000] - scores[1001] > 5
 
 
-def test_mixture_scores_words_after_words_as_a_whole_spelling_does():
+def plain_probability(model, node, slots):
+    """Of a one, in plain floats."""
+    weights = model.weights[4 * int(model.known[3][slots[3]]) + int(model.known[2][slots[2]])]
+    x = sum(float(w) * float(model.guess[k][s]) for k, (w, s) in enumerate(zip(weights, slots, strict=True)))
+    at = min(max(x + 12, 0), 23.999)
+    low = int(at)
+    refined = float(model.refine[node][low]) * (1 - (at - low)) + float(model.refine[node][low + 1]) * (at - low)
+    return min(max((1 / (1 + math.exp(-x)) + refined) / 2, 1e-5), 1 - 1e-5)
+
+
+def test_mixture_against_a_plain_predictor():
+    """Counts and scores of whole spellings, symbol by symbol, against those shared by distinct words and heads."""
     import numpy as np
     import pyarrow as pa
 
     from vectide.llm import mixture
     from vectide.llm.text import Words
 
-    words = Words(pa.array(["Ab c the ab", "", None, "x the c the", "c"]))
-    code = mixture.Code.of(np.bincount(words.data, minlength=256))
-    counts = np.zeros((mixture.TABLES, 1 << mixture.BITS, 2), np.int32)
-    mixture.count_slots(counts, words, code)
+    words = Words(pa.array(["Ab c the abacus", "", None, "x theory c the", "c abacus the"]))
+    learner = mixture.Learner(mixture.Code.fixed(), 16)
+    learner.read(words)
     every = mixture.Spelling.of(words, np.arange(len(words)), *mixture.tails(words))
-    plain = np.zeros_like(counts)
-    for _, _, bit, slots in every.events(code):
-        for k, slot in enumerate(slots):
-            np.add.at(plain[k].reshape(-1), slot * 2 + bit, 1)
-    assert (counts == plain).all()
-    model = mixture.Model.of(code, counts)
+    want, place, met, last = collections.Counter(), collections.Counter(), set(), None
+    names = [words.word(i).lower() for i in range(len(words))] + [None] * 5
+    per_word = collections.defaultdict(list)
+    sizes = learner.code.size[every.symbol]
+    events = [(w, n, b, tuple(s)) for word, node, bit, slots in every.events(learner.code, 16) for w, n, b, *s in zip(word.tolist(), node.tolist(), bit.tolist(), *(x.tolist() for x in slots), strict=True)]
+    at = 0
+    for symbol, size in zip(every.symbol.tolist(), sizes.tolist(), strict=True):
+        word = events[at][0]
+        if word != last and last is not None:
+            met.add(names[last])
+        last = word
+        for w, _, bit, slots in events[at : at + size]:
+            if place[w] < mixture.HEAD or names[w] not in met:
+                want.update((k, s, bit) for k, s in enumerate(slots))
+        per_word[word] += events[at : at + size]
+        place[word] += 1
+        at += size
+        assert symbol == mixture.END or place[word] <= len(names[word]) + 1
+    got = {(int(k), int(s), int(b)): int(learner.counts[k, s, b]) for k, s, b in np.argwhere(learner.counts)}
+    assert got == want
+    blocks = [(k, mixture.shown(b) if k < mixture.TABLES * (1 << 16) // mixture.BLOCK else b.tobytes()) for k, b in ((k, b.astype(np.uint64)) for k, b in learner.blocks())]
+    model = mixture.Model.of(learner.code, 16, blocks)
     _, first, back, _ = mixture.distinct(words, np.ones(len(words)))
-    assert np.allclose(model.text_scores(words, first, back), model.spelled(every, len(words) + 5))
+    plain = [sum(math.log10(p if bit else 1 - p) for _, node, bit, slots in per_word[w] for p in [plain_probability(model, node, slots)]) for w in range(len(words) + 5)]
+    assert np.allclose(model.text_scores(words, first, back), plain, rtol=1e-4)
+
+
+def test_mixture_learns_online():
+    import numpy as np
+    import pyarrow as pa
+
+    from vectide.llm import mixture
+    from vectide.llm.text import Words
+
+    rng = random.Random(4)
+    letters = "aaaabbbccd"
+    texts = [" ".join("".join(rng.choice(letters) for _ in range(rng.randint(3, 9))) for _ in range(300)) for _ in range(40)]
+    learner = mixture.Learner(mixture.Code.fixed(), 18)
+    before = learner.weights.copy()
+    for i in range(0, 40, 10):
+        learner.read(Words(pa.array(texts[i : i + 10])))
+    assert (learner.weights != before).any() and learner.steps.sum() > 10000 and learner.seen.sum() == pytest.approx(learner.steps.sum(), rel=1e-3)
+    blocks = [(k, mixture.shown(b) if k < mixture.TABLES * (1 << 18) // mixture.BLOCK else b.tobytes()) for k, b in ((k, b.astype(np.uint64)) for k, b in learner.blocks())]
+    model = mixture.Model.of(learner.code, 18, blocks)
+    fresh = Words(pa.array(["".join(rng.choice(letters) for _ in range(8)) for _ in range(500)]))
+    bits = -model.word_scores(fresh, np.arange(500))[:500].mean() / math.log10(2) / 9
+    plain = -mixture.Model.of(learner.code, 18, []).word_scores(fresh, np.arange(500))[:500].mean() / math.log10(2) / 9
+    assert bits < 2.4 < plain
+
+
+def test_mixture_beats_the_base_at_scale(spark):
+    sf = "/root/testdata/sf0.1"
+    size = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", F.octet_length("text").alias("bytes"))
+    rows = {r.held_out: r for r in q.op9_mixture(spark, sf).join(size, "doc_id").groupBy("held_out").agg(F.sum("score").alias("score"), F.sum("base_score").alias("base"), F.sum("bytes").alias("bytes")).collect()}
+    assert rows[False].score > rows[False].base
+    assert -rows[True].score / math.log10(2) / rows[True].bytes < 2.15
 
 
 def test_mixing(spark, folder, docs):

@@ -150,7 +150,7 @@ def _frequencies(classes: DataFrame, bits: int) -> np.ndarray:
         for a in range(0, 1 << bits, block):
             yield a // block, total[a : a + block]
 
-    def level(total: np.ndarray) -> bytes:
+    def level(_: int, total: np.ndarray) -> bytes:
         return np.minimum(np.round(8 * np.log2(total + 1.0)), 255).astype(np.uint8).tobytes()
 
     out = np.zeros(1 << bits, np.uint8)

@@ -80,7 +80,7 @@ def grouped(docs: DataFrame, groups: int) -> DataFrame:
 FAN = 64
 
 
-def summed(rows: DataFrame, count: Callable[[Iterable[pa.RecordBatch]], Iterator[tuple[int, np.ndarray]]], size: int, shown: Callable[[np.ndarray], bytes]) -> Iterator[tuple[int, bytes]]:
+def summed(rows: DataFrame, count: Callable[[Iterable[pa.RecordBatch]], Iterator[tuple[int, np.ndarray]]], size: int, shown: Callable[[int, np.ndarray], bytes]) -> Iterator[tuple[int, bytes]]:
     """Sums of the blocks (number, ``size`` integers) that ``count`` yields in the tasks, each as ``shown`` gives it.
 
     Blocks travel packed. FAN tasks' blocks of a number are added at a time, in as many rounds
@@ -93,7 +93,7 @@ def summed(rows: DataFrame, count: Callable[[Iterable[pa.RecordBatch]], Iterator
         return bytes([kind.itemsize]) + zstandard.ZstdCompressor(level=1).compress(block.astype(kind).tobytes())
 
     def unpacked(raw: bytes) -> np.ndarray:
-        return np.frombuffer(zstandard.ZstdDecompressor().decompress(raw[1:]), f"<u{raw[0]}")
+        return np.frombuffer(zstandard.ZstdDecompressor().decompress(raw[1:]), f"<u{raw[0]}").astype(np.uint64)
 
     def emit(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get().partitionId()
@@ -111,12 +111,12 @@ def summed(rows: DataFrame, count: Callable[[Iterable[pa.RecordBatch]], Iterator
     tasks = rows.rdd.getNumPartitions()
     parts = rows.mapInArrow(emit, schema)
     while tasks > 1:
-        parts = parts.groupBy("number", F.floor(F.col("task") / FAN).cast("int").alias("task")).applyInArrow(add, schema)
+        parts = parts.withColumn("task", F.floor(F.col("task") / FAN).cast("int")).groupBy("number", "task").applyInArrow(add, schema)
         tasks = -(-tasks // FAN)
 
     def show(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shown(unpacked(x)) for x in batch.column(2).to_pylist()], pa.binary())], ["number", "shown"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shown(k, unpacked(x)) for k, x in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)], pa.binary())], ["number", "shown"])
 
     for r in parts.mapInArrow(show, "number int, shown binary").collect():
         yield r["number"], bytes(r["shown"])
