@@ -1,5 +1,6 @@
 """The operators and their queries against brute force, on small tables with odd rows."""
 
+import base64
 import collections
 import hashlib
 import math
@@ -415,6 +416,108 @@ def test_spots(spark, folder, docs):
     assert sum(r.near_edited for r in long) > sum(r.near_next for r in long)
 
 
+def plain_spots(text):
+    """The signatures' words by the definition: (anchor, next content words), or of every word in a text without anchors."""
+    from vectide.llm import spots
+
+    words = re.findall("[A-Za-z0-9\u0080-\U0010ffff]+", lower(text or ""))
+    content = [i for i, w in enumerate(words) if w not in spots.ANCHORS]
+    anchors = [i for i, w in enumerate(words) if w in spots.ANCHORS]
+    bare = not anchors
+    found, alone = set(), set()
+    for i in range(len(words)) if bare else anchors:
+        after = [j for j in content if j >= i] if bare else [j for j in content if j > i]
+        chain = tuple(words[after[k * spots.SPACING]] if k * spots.SPACING < len(after) else None for k in range(spots.CHAIN))
+        (found if any(chain) else alone).add((None if bare else words[i], chain))
+    return found or alone
+
+
+def test_spots_against_plain_signatures(spark, folder, docs):
+    def likeness(a, b):
+        return 1.0 if not a and not b else len(a & b) / len(a | b)
+
+    by_id = sorted(((i, t or "") for i, t, *_ in docs if len(t or "") < 20000), reverse=True)
+    sets = {i: plain_spots(t) for i, t in by_id}
+    rows = {r.doc_id: r for r in q.op8_spots(spark, folder).collect()}
+    following = dict(zip([i for i, *_ in sorted(docs, reverse=True)], [i for i, *_ in sorted(docs, reverse=True)][1:], strict=False))
+    texts = {i: t or "" for i, t, *_ in docs}
+    for i, t in by_id:
+        r = rows[i]
+        assert len(base64.b64decode(r.fingerprint)) == 4 * len(sets[i])
+        j = following.get(i)
+        if j in sets:
+            half = len(t) // 2
+            assert r.near_next == pytest.approx(likeness(sets[i], sets[j]))
+            assert r.near_edited == pytest.approx(likeness(sets[i], plain_spots(t[: len(t) - half] + texts[j][:half])))
+    same = collections.defaultdict(set)
+    for i in sets:
+        same[frozenset(sets[i])].add(rows[i].fingerprint)
+    assert all(len(v) == 1 for v in same.values()) and len(same) == len({rows[i].fingerprint for i in sets})
+
+
+def test_spots_cut_into_many_parts(spark, monkeypatch):
+    """Parts, rows without an id and repeated ids: every row once, each followed by the next in order."""
+    from vectide.llm import spots
+
+    rng = random.Random(6)
+    rows = [(i, f"t{i}") for i in rng.sample(range(-500, 5000), 300)] + [(None, f"n{i}") for i in range(60)] + [(7000, "b"), (7000, "a")]
+    monkeypatch.setattr(spots, "groups_for", lambda *a: 40)
+    import pyarrow as pa
+
+    got = spots.with_successors(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), lambda i, t, s: pa.RecordBatch.from_arrays([pa.array(i, pa.int64()), pa.array(t), pa.array(s)], ["i", "t", "s"]), "i long, t string, s string").collect()
+    assert sorted((r.i is None, r.i, r.t) for r in got if r.i is not None) == sorted((False, i, t) for i, t in rows if i is not None) and len(got) == len(rows)
+    after = {r.t: r.s for r in got}
+    known = sorted(((-i, t) for i, t in rows if i is not None))
+    at = [t for _, t in known]
+    assert all(after[a] == b for a, b in zip(at, at[1:], strict=False)) and after[at[-1]].startswith("n")
+    seen, t = [], at[-1]
+    for _ in range(60):
+        t = after[t]
+        seen.append(t)
+    assert sorted(seen) == sorted(f"n{i}" for i in range(60)) and after[t] == at[0]
+
+
+def test_language_against_plain_ranks(spark, tmp_path):
+    """Profiles, out-of-place distances and scores by their definition, over 200 documents."""
+    import unicodedata
+
+    rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang", F.lit("x").alias("rank")).collect()
+    rows = [tuple(r) for r in rows][:200] + [(100001, "ΑΒΓ δεζ αβγ", "el", "x"), (100002, "αβγ δεζ", "el", "x"), (100003, "123", "el", "x"), (100005, "βγ", "el", "x")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, rank string").write.parquet(str(tmp_path / "documents.parquet"))
+
+    def grams(text):
+        runs = "".join(c if unicodedata.category(c)[0] == "L" else " " for c in (text or "").lower()).split()
+        whole = f" {' '.join(runs)} " if runs else ""
+        found = collections.Counter(whole[i : i + k] for k in (1, 2, 3) for i in range(len(whole) - k + 1))
+        del found[" "]
+        return found
+
+    held = {i: zlib.crc32(str(i).encode()) % 5 == 0 for i, *_ in rows}
+    each = {i: grams(t) for i, t, *_ in rows}
+    total = collections.defaultdict(collections.Counter)
+    for i, t, lang, _ in rows:
+        if not held[i] and t is not None and lang is not None:
+            total[lang].update(each[i])
+    spelled = lambda g: [ord(c) for c in g]
+    code = lambda g: [0] * (3 - len(g)) + [x + 1 for x in spelled(g)]
+    profile = {k: {g: r for r, g in enumerate(sorted(c, key=lambda g: (-c[g], code(g)))[:400])} for k, c in total.items()}
+    over_all = collections.Counter()
+    for k, p in profile.items():
+        over_all.update({g: total[k][g] for g in p})
+    common = {g: r for r, g in enumerate(sorted(over_all, key=lambda g: (-over_all[g], code(g))))}
+    for r in q.op7_language(spark, str(tmp_path)).collect():
+        own = each[r.doc_id]
+        if not own:
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+            continue
+        ranked = sorted(own, key=lambda g: (-own[g], common.get(g, len(common))))[:400]
+        far = {k: sum(min(abs(at - p.get(g, 10**9)), 400) for at, g in enumerate(ranked) if g in common) for k, p in profile.items()}
+        best = sorted(far, key=lambda k: (far[k], k))
+        assert r.lang_pred == best[0]
+        a, b = far[best[0]], far[best[1]]
+        assert r.score == pytest.approx(b / (a + b) if a + b else 0.5)
+
+
 def test_spot_join_equals_all_pairs(spark, docs):
     import itertools
 
@@ -452,7 +555,7 @@ def test_mixture_bits_are_a_distribution():
     from vectide.llm import mixture
     from vectide.llm.text import Words
 
-    code = mixture.Code.fixed()
+    code = mixture.Code.of(np.arange(1, 257))
     model = mixture.Model.of(code, 16, [])
     one = [bytes([b]).decode("latin-1") for b in range(33, 127) if not 65 <= b <= 90]
     words = Words(pa.array([" ".join(one)]))
@@ -491,7 +594,7 @@ def test_mixture_against_a_plain_predictor():
     from vectide.llm.text import Words
 
     words = Words(pa.array(["Ab c the abacus", "", None, "x theory c the", "c abacus the"]))
-    learner = mixture.Learner(mixture.Code.fixed(), 16)
+    learner = mixture.Learner(mixture.Code.of(np.arange(1, 257)), 16)
     learner.read(words)
     every = mixture.Spelling.of(words, np.arange(len(words)), *mixture.tails(words))
     want, place, met, last = collections.Counter(), collections.Counter(), set(), None
@@ -516,7 +619,7 @@ def test_mixture_against_a_plain_predictor():
     assert got == want
     blocks = [(k, mixture.shown(b) if k < mixture.TABLES * (1 << 16) // mixture.BLOCK else b.tobytes()) for k, b in ((k, b.astype(np.uint64)) for k, b in learner.blocks())]
     model = mixture.Model.of(learner.code, 16, blocks)
-    _, first, back, _ = mixture.distinct(words, np.ones(len(words)))
+    _, first, back = mixture.hashed(words)
     plain = [sum(math.log10(p if bit else 1 - p) for _, node, bit, slots in per_word[w] for p in [plain_probability(model, node, slots)]) for w in range(len(words) + 5)]
     assert np.allclose(model.text_scores(words, first, back), plain, rtol=1e-4)
 
@@ -531,7 +634,7 @@ def test_mixture_learns_online():
     rng = random.Random(4)
     letters = "aaaabbbccd"
     texts = [" ".join("".join(rng.choice(letters) for _ in range(rng.randint(3, 9))) for _ in range(300)) for _ in range(40)]
-    learner = mixture.Learner(mixture.Code.fixed(), 18)
+    learner = mixture.Learner(mixture.Code.of(np.arange(1, 257)), 18)
     before = learner.weights.copy()
     for i in range(0, 40, 10):
         learner.read(Words(pa.array(texts[i : i + 10])))

@@ -6,9 +6,10 @@ cumulative token demand. A document copy that covers words c..c+size of its
 source is trained where the demand reaches its middle: the integral is
 inverted there, and documents are range-sorted by that position.
 
-Nulls: a null text has size 0; null sources form one source, sorted last; a
-null doc_id orders as the empty text. Repeated rows are separate documents.
-An empty table gives an empty result.
+Nulls: a null text has size 0; null sources form one source, sorted last; rows without a
+doc_id are ordered by their place in the table. Repeated rows are separate documents; ties of the
+order are broken by size. Very long texts count whole. Columns beyond doc_id, source, text
+and ``keep`` are not read. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -63,7 +64,8 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = WEIGHTS, ramps: Sequ
     (words of the source before it), ramp, position. Sources are cut into hash
     blocks, so that running sums need no task to hold a whole source.
     """
-    key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
+    # rows without an id are dealt by their place in the table, so that they fill no block
+    key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("row "), F.monotonically_increasing_id().cast("string"))).cast("binary"))
     sized = stored(docs.select("doc_id", "source", *keep, F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long").alias("size"), key.alias("key")))
     blocks = max(1, min(65536, sized.count() // 200))
     sized = sized.withColumn("block", F.floor(F.conv(F.substring("key", 1, 4), 16, 10).cast("long") * blocks / 65536))
@@ -71,7 +73,7 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = WEIGHTS, ramps: Sequ
     of_source = targets(of_block.groupBy("source").agg(F.sum("block_size").alias("source_size")), weights, ramps, limit)
     earlier = Window.partitionBy("source").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     starts = of_block.withColumn("block_start", F.coalesce(F.sum("block_size").over(earlier), F.lit(0))).drop("block_size")
-    starts = starts.join(F.broadcast(of_source).withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s").withColumnsRenamed({"source": "s", "block": "b"})
+    starts = starts.join(of_source.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s").withColumnsRenamed({"source": "s", "block": "b"})
     inside = Window.partitionBy("source", "block").orderBy("key", F.col("size"), *keep).rowsBetween(Window.unboundedPreceding, -1)
     placed = sized.withColumn("rank_words", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     placed = placed.join(starts, F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("b"))).withColumn("rank_words", F.col("rank_words") + F.col("block_start"))
@@ -86,12 +88,16 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = WEIGHTS, ramps: Sequ
     )
 
 
-def training_order(mixed: DataFrame, partitions: int | None = None) -> DataFrame:
-    """One row per copy, range-sorted by training position: what a trainer reads in order."""
+def copies(mixed: DataFrame) -> DataFrame:
+    """One row per copy, numbered from 0, with its own training position."""
     copy = mixed.withColumn("copy", F.explode(F.when(F.col("copies") > 0, F.sequence(F.lit(0), (F.col("copies") - 1).cast("int")))))
     middle = (F.col("copy") * F.col("source_size") + F.col("rank_words") + F.col("size") / 2) / F.greatest("target", F.lit(1.0))
-    copy = copy.withColumn("position", position(middle, F.col("ramp")))
-    return by_position(copy, partitions)
+    return copy.withColumn("position", position(middle, F.col("ramp")))
+
+
+def training_order(mixed: DataFrame, partitions: int | None = None) -> DataFrame:
+    """One row per copy, range-sorted by training position: what a trainer reads in order."""
+    return by_position(copies(mixed), partitions)
 
 
 def by_position(df: DataFrame, partitions: int | None = None) -> DataFrame:

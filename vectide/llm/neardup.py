@@ -182,43 +182,43 @@ def _postings(classes: DataFrame, n: int) -> DataFrame:
     return classes.select("cls", "n", "sig").mapInArrow(run, "token long, cls long, n long, mask long")
 
 
-def _still_open(lists: DataFrame, label: DataFrame | None) -> tuple[DataFrame, int]:
+def _still_open(lists: DataFrame, label: DataFrame | None, order: Column) -> tuple[DataFrame, int]:
     """The posting lists whose members lie in different components by now, and their size.
 
-    Here and below, what is known of a token is written before it is joined to the
-    token's members, so that Spark can split a join on a frequent token.
+    Members come with what is known of their list: its leader, the least by ``order``; salts,
+    so many bits of a member's hash as cut the leader's members into groups of about GROUP; and
+    the list's blocks. That is written before it is joined to the members, so that Spark can
+    split the join on a frequent token.
     """
+    members = ["token", "cls", "n", "mask"]
     if label is None:
         now = stored(lists.withColumn("component", F.col("cls")))
     else:
-        now = stored(lists.drop("component").join(label, lists["cls"] == label["node"], "left").select("token", "cls", "n", "mask", F.coalesce("component", "cls").alias("component")))
-        discard(lists)
-    mixed = stored(now.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("token"))
-    kept = stored(now.join(mixed, "token"))
+        now = stored(lists.select(*members).join(label, F.col("cls") == F.col("node"), "left").select(*members, F.coalesce("component", "cls").alias("component")))
+    size = F.count(F.lit(1))
+    tokens = now.groupBy("token").agg(
+        F.min("component").alias("x"),
+        F.max("component").alias("y"),
+        F.min(F.struct(order.alias("o"), "cls", "n", "component")).alias("lead"),
+        F.greatest(F.ceil(F.log2(size / GROUP)), F.lit(0)).cast("int").alias("salts"),
+        F.ceil(size / BLOCK).cast("int").alias("blocks"),
+    )
+    tokens = stored(tokens.where("x <> y").drop("x", "y"))
+    kept = stored(now.join(tokens, "token"))
     discard(now)
-    discard(mixed)
+    discard(tokens)
     return kept, kept.count()
 
 
-def _led(posted: DataFrame, order: Column) -> DataFrame:
-    """(a, b, na, nb, salts): each member of a list with the list's leader, where their components differ.
-
-    salts: so many bits of the member's hash cut the leader's members into groups of about GROUP.
-    """
-    leader = stored(
-        posted.groupBy("token").agg(
-            F.min(F.struct(order.alias("o"), "cls", "n", "component")).alias("lead"), F.greatest(F.ceil(F.log2(F.count(F.lit(1)) / GROUP)), F.lit(0)).cast("int").alias("salts")
-        )
-    )
-    pairs = posted.join(leader, "token").where("component <> lead.component")
-    return pairs.select(F.col("lead.cls").alias("a"), F.col("cls").alias("b"), F.col("lead.n").alias("na"), F.col("n").alias("nb"), "salts")
+def _led(posted: DataFrame) -> DataFrame:
+    """(a, b, na, nb, salts): each member of a list with the list's leader, where their components differ."""
+    return posted.where("component <> lead.component").select(F.col("lead.cls").alias("a"), F.col("cls").alias("b"), F.col("lead.n").alias("na"), F.col("n").alias("nb"), "salts")
 
 
 def _blocks(posted: DataFrame) -> DataFrame:
     """Members of lists dealt to blocks of about BLOCK, a row for each pair of blocks (i <= j) that needs the member."""
-    size = stored(posted.groupBy("token").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")))
     own = F.pmod(F.xxhash64("cls", F.lit(99)), F.col("blocks")).cast("int")
-    dealt = posted.join(size, "token").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = posted.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     return dealt.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")}).drop("other")
 
 
@@ -410,15 +410,17 @@ def near_duplicates(docs: DataFrame, size_words: int = 5, percent: int = 80) ->
     label: DataFrame | None = None
     linked = 0
     for turn in range(TURNS + 1):
-        lists, size = _still_open(lists, label)
+        order = F.xxhash64("cls", "token", F.lit(turn)) if turn else F.col("cls")
+        last, (lists, size) = lists, _still_open(lists, label, order)
+        if turn:
+            discard(last)
         if not size:
             break
         everything = turn == TURNS or turn > 0 and 20 * linked < size
         if everything:
             links = cut_lineage(_residual(lists, classes, docs, size_words, percent))
         else:
-            order = F.xxhash64("cls", "token", F.lit(turn)) if turn else F.col("cls")
-            matched = cut_lineage(_matching(_led(lists, order), classes, percent))
+            matched = cut_lineage(_matching(_led(lists), classes, percent))
             links = cut_lineage(_confirmed(matched, docs, size_words, percent))
         linked = links.count()
         if linked:

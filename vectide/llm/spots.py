@@ -8,12 +8,15 @@ are alike by the Jaccard similarity of their sets.
 Words are lower-cased (A-Z) runs of letters and digits. A text without an
 anchor uses every word as one. A chain that the text's end cuts short still
 counts. A text without words has the empty fingerprint, like only itself:
-likeness 1 to another empty one, 0 to any other. Null texts count as empty.
+likeness 1 to another empty one, 0 to any other. Null texts count as empty. Repeated rows
+are documents of their own. Very long texts are read whole, one at a time. Columns beyond
+doc_id and text are not read; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import base64
+import math
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -32,6 +35,8 @@ ANCHORS = (
     "el los las una es y que en"
 ).split()
 CHAIN, SPACING = 2, 2
+#: ranges of documents that a query is cut into at most
+MOST_PARTS = 20_000
 
 
 def _anchor_hashes(anchors: Iterable[str]) -> np.ndarray:
@@ -119,46 +124,56 @@ def similar(docs: DataFrame, threshold: float = 0.8, **options) -> DataFrame:
     return pairs.join(a, "a").join(b, "b").select("a", "b", likeness.alias("similarity")).where(F.col("similarity") >= threshold)
 
 
+def _dealer(bounds: np.ndarray, null_parts: int):
+    """A column function: the part of (doc_id, hash of the text), by descending doc_id; rows without an id come last, by hash."""
+
+    @F.arrow_udf("int")
+    def part(ids: pa.Array, hashes: pa.Array) -> pa.Array:
+        none = ids.is_null().to_numpy(zero_copy_only=False)
+        own = len(bounds) - np.searchsorted(bounds, ids.fill_null(0).to_numpy().astype(np.int64))
+        share = (hashes.to_numpy().astype(np.float64) + 2.0**63) / 2.0**64 * null_parts
+        own = np.where(none, len(bounds) + 1 + np.minimum(share.astype(np.int64), null_parts - 1), own)
+        return pa.array(own.astype(np.int32))
+
+    return part
+
+
 def neighbours(docs: DataFrame, part_bytes: int = 4 << 20) -> DataFrame:
-    """(part, doc_id, text, ghost): documents dealt to parts by descending doc_id.
+    """(part, doc_id, h, text, ghost): documents dealt to parts by descending doc_id.
 
-    Each part also holds, as a ghost, the first document of the part after it, so that
-    inside a part every document's successor is the row below. Parts are ranges of
-    doc_id; only their bounds, a few numbers per part, reach the driver.
+    Rows without an id come last, by the hash h of their text, in parts of their own. Each part
+    also holds, as a ghost, the first document of the part after it, so that inside a part every
+    document's successor is the row below. Parts are ranges of doc_id; their bounds, MOST_PARTS
+    numbers at most, reach the driver and the tasks, where they are searched. Beyond
+    that number parts grow; a task streams its parts.
     """
-    docs = docs.select("doc_id", "text")
-    parts = groups_for(docs, part_bytes, 50, 256)
+    docs = docs.select("doc_id", F.xxhash64("text").alias("h"), "text")
+    parts = min(MOST_PARTS, groups_for(docs, part_bytes, 50, 256))
+    rows, nulls = docs.select(F.count(F.lit(1)), F.count_if(F.col("doc_id").isNull())).first()
     marks = docs.where("doc_id IS NOT NULL").agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)] or [0.5], 20 * parts)).first()[0] or []
-    marks = sorted(set(marks), reverse=True)  # part i: ids above marks[i], the rest below; nulls come last
-    part = F.lit(len(marks)).cast("int") - F.coalesce(_place(F.col("doc_id"), sorted(marks)), F.lit(-1))
-    dealt = docs.withColumn("part", part.cast("int"))
-    first = {r["part"]: r["first"] for r in dealt.groupBy("part").agg(F.max("doc_id").alias("first")).collect()}
+    part = _dealer(np.unique(np.array(marks, np.int64)), max(1, math.ceil(parts * nulls / max(1, rows))))
+    dealt = docs.withColumn("part", part("doc_id", "h"))
+    own_first = F.min(F.struct((-F.col("doc_id")).alias("id"), F.when(F.col("doc_id").isNull(), F.col("h")).otherwise(F.lit(0)).alias("h")))
+    first = {r["part"]: (r["first"]["id"], r["first"]["h"]) for r in docs.select("doc_id", "h").withColumn("part", part("doc_id", "h")).groupBy("part").agg(own_first.alias("first")).collect()}
     order = sorted(first)
     if not order:
-        return dealt.withColumn("ghost", F.lit(False)).select("part", "doc_id", "text", "ghost")
+        return dealt.withColumn("ghost", F.lit(False)).select("part", "doc_id", "h", "text", "ghost")
     before = dict(zip(order, [order[-1], *order[:-1]], strict=True))
-    table = docs.sparkSession.createDataFrame([(p, first[p], before[p]) for p in order], "p int, first long, before int")
-    ghosts = dealt.join(F.broadcast(table), (F.col("part") == F.col("p")) & F.col("doc_id").eqNullSafe(F.col("first"))).select(F.col("before").alias("part"), "doc_id", "text")
-    n = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(parts, 20000))
-    both = dealt.select("part", "doc_id", "text", F.lit(False).alias("ghost")).union(ghosts.withColumn("ghost", F.lit(True)))
-    return both.repartition(n, "part").sortWithinPartitions("part", "ghost", F.desc_nulls_last("doc_id"), "text")
-
-
-def _place(value, marks: list[int]):
-    """How many of the sorted marks lie below the value, by binary search in SQL; null for null."""
-    if not marks:
-        return F.when(value.isNotNull(), F.lit(0))
-    middle = len(marks) // 2
-    return F.when(value > marks[middle], _place(value, marks[middle + 1 :]) + (middle + 1) if marks[middle + 1 :] else F.lit(middle + 1)).when(
-        value.isNotNull(), _place(value, marks[:middle]) if marks[:middle] else F.lit(0)
-    )
+    table = docs.sparkSession.createDataFrame([(p, None if first[p][0] is None else -first[p][0], first[p][1], before[p]) for p in order], "p int, first long, first_h long, before int")
+    is_first = (F.col("part") == F.col("p")) & F.col("doc_id").eqNullSafe(F.col("first")) & (F.col("doc_id").isNotNull() | (F.col("h") == F.col("first_h")))
+    ghosts = dealt.join(F.broadcast(table), is_first).select(F.col("before").alias("part"), "doc_id", "h", "text")
+    n = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(parts, MOST_PARTS))
+    both = dealt.select("part", "doc_id", "h", "text", F.lit(False).alias("ghost")).union(ghosts.withColumn("ghost", F.lit(True)))
+    by_hash = F.when(F.col("doc_id").isNull(), F.col("h"))
+    return both.repartition(n, "part").sortWithinPartitions("part", "ghost", F.desc_nulls_last("doc_id"), by_hash, "text")
 
 
 def with_successors(docs: DataFrame, run, schema: str) -> DataFrame:
     """Apply ``run(doc_ids, texts, successor texts)`` -> RecordBatch to all documents by descending id.
 
     The successor of the last document is the first one. Among equal ids texts order
-    ascending; a lone document succeeds itself.
+    ascending; rows without an id come last, ordered by a hash of their text; a lone document
+    succeeds itself.
     """
 
     def stream(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

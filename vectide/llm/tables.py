@@ -15,7 +15,18 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: bytes of the batches in which rows travel to Python
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "4m"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Rows travel to Python in batches of a few megabytes, whatever the length of the texts, unless the session says otherwise."""
+    if spark.conf.get(BATCH_BYTES[0], None) is None:
+        spark.conf.set(*BATCH_BYTES)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
@@ -48,6 +59,15 @@ def stored(df: DataFrame) -> DataFrame:
     return out
 
 
+def keyed(docs: DataFrame) -> tuple[DataFrame, str]:
+    """The rows with a number of their own each, written so that it lasts, and the name of its column, which no other has."""
+    small_batches(docs.sparkSession)
+    name = "row"
+    while name in (low := {c.lower() for c in docs.columns}) or any(c.startswith(f"{name}_") for c in low):
+        name += "x"
+    return stored(docs.withColumn(name, F.monotonically_increasing_id())), name
+
+
 def discard(df: DataFrame) -> None:
     """Delete what ``stored`` wrote for this DataFrame, once nothing reads it any more."""
     spark = df.sparkSession

@@ -25,7 +25,7 @@ LOWER[65:91] += 32
 
 _MUL = U64(0x9E3779B97F4A7C15)
 #: masks of the first 0..8 bytes of a little-endian number
-_MASK = np.array([(1 << 8 * i) - 1 for i in range(9)], U64)
+MASK = np.array([(1 << 8 * i) - 1 for i in range(9)], U64)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -52,14 +52,14 @@ def slices(data: np.ndarray, start: np.ndarray, size: np.ndarray, seed: int = 0)
     """
     all_eights = eights(data)
     salt = U64((seed * 0xD6E8FEB86659FD93 + 0x5851F42D4C957F2D) & 0xFFFFFFFFFFFFFFFF)
-    total = mix((all_eights[start] & _MASK[np.minimum(size, 8)]) + salt)
+    total = mix((all_eights[start] & MASK[np.minimum(size, 8)]) + salt)
     long = np.flatnonzero(size > 8)
     if len(long):
         more = (size[long] + 7) // 8 - 1
         group, place = ragged(more)
         at = start[long][group] + 8 * (place + 1)
         left = np.minimum(size[long][group] - 8 * (place + 1), 8)
-        part = mix((all_eights[at] & _MASK[left]) + mix(salt + (place + 1).astype(U64) * _MUL))
+        part = mix((all_eights[at] & MASK[left]) + mix(salt + (place + 1).astype(U64) * _MUL))
         total[long] += np.add.reduceat(part, np.cumsum(more) - more)
     return mix(total + size.astype(U64) * _MUL)
 
