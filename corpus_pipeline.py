@@ -8,7 +8,11 @@ at most.
 
 Nulls: a null text is an empty document for every stage (scored by the bias,
 never a near-duplicate, nothing to redact, size 0 and so not drawn by the mix).
-Columns beyond those of documents are carried to the mix and end at packing.
+Rows are told apart by a key of their own, not by doc_id: a repeated or missing id
+neither drops a text nor hides a copy. Repeated rows are near-duplicates of each other
+unless they are empty. Very long texts are read whole. An empty table passes every stage.
+Columns beyond those of documents, whatever their names, are carried to the mix and end
+at packing.
 """
 
 from __future__ import annotations
@@ -16,11 +20,11 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vectide.llm import mixing, neardup, packing, pii, toxicity
-from vectide.llm.tables import documents, remainder, stored
+from vectide.llm.tables import discard, documents, keyed, remainder, small_batches, stored
 from vectide.llm.text import pieces
 
 TOXIC = 0.7
@@ -29,15 +33,19 @@ SHINGLE, PERCENT = 5, 80
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored below TOXIC; the model learns from the labelled rows outside the held-out third."""
+    small_batches(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(remainder(F.col("doc_id"), 3) != 1)
     return toxicity.accepted(docs, toxicity.train(docs, labels), TOXIC)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document that names each component. A repeated doc_id stays once; documents without an id are only told apart by their text."""
-    kept = neardup.near_duplicates(docs, SHINGLE, PERCENT).where("kept AND doc_id IS NOT NULL").select("doc_id")
-    named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
-    return named.unionByName(docs.where("doc_id IS NULL").dropDuplicates(["text"]))
+    """Of each group the document with the least doc_id (a missing one last); of rows that share it, the first as stored."""
+    rows, key = keyed(docs)
+    found = neardup.near_duplicates(rows.select(F.col(key).alias("doc_id"), "text"), SHINGLE, PERCENT)
+    found = found.select(F.col("doc_id").alias("row"), F.col("component_id").alias("component")).join(rows.select(F.col(key).alias("row"), "doc_id"), "row")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("row").alias("row")))
+    kept = found.groupBy("component").agg(least.alias("least")).select(F.col("least.row").alias(key))
+    return rows.join(kept, key, "left_semi").select(docs.columns)
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,14 +69,10 @@ def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix draws it, in no particular order (mixing.training_order sorts copies)."""
-    key = F.coalesce("doc_id", F.xxhash64("text"))
-    mixed = mixing.mix_sources(docs.select("doc_id", "source", "text", key.alias("mix_key")), keep=("mix_key",))
-    nth = F.row_number().over(Window.partitionBy("mix_key").orderBy("size"))
-    drawn = mixed.withColumn("nth", nth).where("copies > 0").select("mix_key", "nth", "copies")
-    own = F.row_number().over(Window.partitionBy("mix_key").orderBy(F.length("text"), "text"))
-    copies = docs.withColumn("mix_key", key).withColumn("nth", own).join(drawn, ["mix_key", "nth"])
-    copies = copies.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
-    return copies.select(docs.columns)
+    rows, key = keyed(docs)
+    mixed = mixing.mix_sources(rows.select("doc_id", "source", "text", key), keep=(key,))
+    drawn = mixed.where("copies > 0").select(key, F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias(f"{key}_copy"))
+    return rows.join(drawn, key).select(docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -89,9 +93,12 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of the last stage over the table ``documents``."""
-    docs = documents(spark, sf_dir)
+    docs, last = documents(spark, sf_dir), None
     for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
             docs = stored(docs)
+            if last is not None:
+                discard(last)
+            last = docs
     return docs
