@@ -1,9 +1,11 @@
 """Exact nearest neighbours and the weighted multi-field merge.
 
-Ties are broken by id. Small work stays in Catalyst expressions; otherwise
-partitions multiply blocks of vectors with the queries in numpy, keep k per
-query and group, and a final window merges the partial lists. Queries are
-broadcast after a check of their number; more are taken a block at a time.
+Distances are rounded and ties are broken by id, everywhere: a block keeps every row that
+could be among a query's k nearest before it cuts by (distance, id). Rows without a vector
+are nobody's neighbour; a vector of another dimension than its query's is an error. Small work
+stays in Catalyst expressions; otherwise partitions multiply blocks of vectors with the queries
+in numpy, keep k per query and group, and a final window merges the partial lists. Queries are
+broadcast in blocks of a fixed number of bytes, each with a scan of its own.
 """
 
 from __future__ import annotations
@@ -12,14 +14,15 @@ from collections.abc import Iterable, Iterator, Mapping, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vectide.functions import vectors as V
 from vectide.types import Metric, checked_limit
 
-#: queries in one broadcast block, and rows multiplied at once
-QUERY_BLOCK, ROW_BLOCK = 4096, 8192
+#: bytes of the queries in one broadcast block; queries and rows multiplied at once; pairs measured at once
+QUERY_BYTES, QUERY_BLOCK, ROW_BLOCK, PAIR_BLOCK = 32 << 20, 1024, 4096, 1 << 18
 
 
 def nearest(vectors: DataFrame, query: Sequence[float], k: int, metric: Metric = Metric.L2, digits: int = 6) -> DataFrame:
@@ -28,45 +31,66 @@ def nearest(vectors: DataFrame, query: Sequence[float], k: int, metric: Metric =
     q = V.unit(np.array(query)) if metric is Metric.COSINE else np.array(query, float)
     stored = V.normalize(F.col("embedding")) if metric is Metric.COSINE else F.col("embedding")
     d = V.DISTANCE[metric](stored, F.array(*(F.lit(float(x)) for x in q)))
-    return vectors.select("eid", F.round(d, digits).alias("distance")).orderBy("distance", "eid").limit(k)
+    fits = F.assert_true(F.size("embedding") == len(q), F.lit(f"a vector is not of the query's dimension, {len(q)}")).isNull()
+    return vectors.where("embedding IS NOT NULL").where(fits).select("eid", F.round(d, digits).alias("distance")).orderBy("distance", "eid").limit(k)
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
-    flat = column.flatten().to_numpy(zero_copy_only=False)
-    return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 0)
+def _matrix(column: pa.Array, dim: int) -> np.ndarray:
+    """The rows' vectors; all of them must be of this dimension."""
+    sizes = pc.list_value_length(column).to_numpy(zero_copy_only=False)
+    if len(sizes) and (sizes != dim).any():
+        raise ValueError(f"a vector has {int(sizes[sizes != dim][0])} dimensions, the queries have {dim}")
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), dim)
 
 
-def partial_top(groups: np.ndarray, x: np.ndarray, q: np.ndarray, k: int, metric: Metric) -> tuple[np.ndarray, ...]:
-    """(query, row, exact distance) of the k least of each group and query in a block."""
+def partial_top(groups: np.ndarray, x: np.ndarray, place: np.ndarray, q: np.ndarray, k: int, metric: Metric, digits: int) -> tuple[np.ndarray, ...]:
+    """(query, row, rounded distance) of the k least of each group and query in a block, by distance, then ``place``.
+
+    A product of matrices gives distances up to a small error. Whatever is not beyond the k-th
+    least by more than that and the rounding is measured exactly.
+    """
     rows, cols, dist = [], [], []
     for g in np.unique(groups):
         own = np.flatnonzero(groups == g)
-        far = V.distances(x[own], q, metric)
-        wide = min(len(own), k + 16)
-        near = np.argpartition(far, wide - 1, axis=0)[:wide] if wide < len(own) else np.tile(np.arange(len(own))[:, None], (1, len(q)))
-        c = np.tile(np.arange(len(q)), (len(near), 1)).reshape(-1)
-        r = own[near.reshape(-1)]
-        rows.append(r)
-        cols.append(c)
-        dist.append(V.exact(x[r], q[c], metric))
-    return np.concatenate(cols), np.concatenate(rows), np.concatenate(dist)
+        for at in range(0, len(q), QUERY_BLOCK):
+            far = V.distances(x[own], q[at : at + QUERY_BLOCK], metric)
+            limit = np.partition(far, k - 1, axis=0)[k - 1] if k < len(own) else np.full(far.shape[1], np.inf)
+            slack = 2 * 10.0**-digits + 1e-9 * (1 + np.abs(far).max(0, initial=0) + (x[own] ** 2).sum(1).max(initial=0))
+            near = far <= limit + slack
+            many = near.sum(0)
+            cut = np.unique(np.append(np.flatnonzero(np.diff(np.cumsum(many) // PAIR_BLOCK, prepend=0)), [0, len(many)]))
+            for a, b in zip(cut[:-1], cut[1:], strict=True):
+                c, r = np.nonzero(near[:, a:b].T)
+                c, r = c + at + a, own[r]
+                d = np.round(np.concatenate([V.exact(x[r[i : i + PAIR_BLOCK]], q[c[i : i + PAIR_BLOCK]], metric) for i in range(0, max(1, len(r)), PAIR_BLOCK)]), digits)
+                order = np.lexsort((place[r], d, c))
+                c, r, d = c[order], r[order], d[order]
+                keep = np.arange(len(c)) - np.searchsorted(c, c) < k
+                rows.append(r[keep])
+                cols.append(c[keep])
+                dist.append(d[keep])
+    return np.concatenate(cols or [[]]).astype(int), np.concatenate(rows or [[]]).astype(int), np.concatenate(dist or [[]]).astype(float)
 
 
 def nearest_batch(vectors: DataFrame, queries: DataFrame, k: int, metric: Metric = Metric.L2, group: Sequence[str] = (), digits: int = 6) -> DataFrame:
     """qid, ``group`` columns, eid, distance, rank: the k nearest of each group of (eid, embedding) to each (qid, embedding).
 
-    Only k rows per query, group and block leave the scan.
+    Only k rows per query, group and block leave the scan. Queries without a vector find nothing;
+    those that have one must agree in dimension.
     """
     checked_limit(k)
     spark = vectors.sparkSession
-    rows = queries.select("qid", "embedding").orderBy("qid")
-    n = rows.count()
+    rows = queries.where("embedding IS NOT NULL").select("qid", "embedding").orderBy("qid")
+    n, dim, widest = rows.agg(F.count(F.lit(1)), F.min(F.size("embedding")), F.max(F.size("embedding"))).first()
+    if dim != widest:
+        raise ValueError(f"queries have {dim} to {widest} dimensions")
+    per_block = max(1, QUERY_BYTES // (8 * max(1, dim or 1)))
     types = dict(vectors.dtypes)
     qtype = dict(queries.dtypes)["qid"]
     fields = ", ".join([f"qid {qtype}", *(f"`{g}` {types[g]}" for g in group), f"eid {types['eid']}", "distance double"])
     parts = []
-    for start in range(0, max(n, 1), QUERY_BLOCK):
-        block = rows.offset(start).limit(QUERY_BLOCK).collect() if n > QUERY_BLOCK else rows.collect()
+    for start in range(0, max(n, 1), per_block):
+        block = rows.offset(start).limit(per_block).collect() if n > per_block else rows.collect()
         if not block:
             continue
         ids = [r["qid"] for r in block]
@@ -78,17 +102,19 @@ def nearest_batch(vectors: DataFrame, queries: DataFrame, k: int, metric: Metric
             for whole in batches:
                 for at in range(0, whole.num_rows, ROW_BLOCK):
                     batch = whole.slice(at, ROW_BLOCK)
-                    x = _matrix(batch.column(batch.num_columns - 1))
-                    x = V.unit(x) if metric is Metric.COSINE else x
+                    x = _matrix(batch.column(batch.num_columns - 1), q.shape[1])
+                    x = V.unit(x) if metric is Metric.COSINE else x.astype(np.float64)
+                    place = np.empty(batch.num_rows, np.int64)
+                    place[pc.sort_indices(batch.column(batch.num_columns - 2)).to_numpy()] = np.arange(batch.num_rows)
                     keys = [tuple(r) for r in zip(*(batch.column(i).to_pylist() for i in range(len(group))), strict=True)] if group else [()] * batch.num_rows
                     number = {key: i for i, key in enumerate(dict.fromkeys(keys))}
-                    c, r, d = partial_top(np.array([number[key] for key in keys]), x, q, k, metric)
+                    c, r, d = partial_top(np.array([number[key] for key in keys]), x, place, q, k, metric, digits)
                     take = pa.array(r)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([ids[i] for i in c], _arrow(qtype)), *(batch.column(i).take(take) for i in range(batch.num_columns - 1)), pa.array(np.round(d, digits))], ["qid", *group, "eid", "distance"]
+                        [pa.array([ids[i] for i in c], _arrow(qtype)), *(batch.column(i).take(take) for i in range(batch.num_columns - 1)), pa.array(d)], ["qid", *group, "eid", "distance"]
                     )
 
-        parts.append(vectors.select(*group, "eid", "embedding").mapInArrow(run, fields))
+        parts.append(vectors.where("embedding IS NOT NULL").select(*group, "eid", "embedding").mapInArrow(run, fields))
     if not parts:
         return spark.createDataFrame([], fields + ", rank long")
     found = parts[0]

@@ -242,7 +242,7 @@ def clip_pixel_norm(spark, sf_dir):
 
 @query("eid_validate", "SELECT page_id, CASE WHEN strlen(substr(url, 8)) <= 16 THEN substr(url, 8) END AS eid FROM pages")
 def eid_validate(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", S.canonical_id(F.substring("url", 8, 10000)).alias("eid"))
+    return table(spark, sf_dir, "pages").select("page_id", S.canonical_id(F.expr("substring(url, 8)")).alias("eid"))
 
 
 @query("clip_text_clean", r"SELECT conv_id, turn, lower(trim(regexp_replace(text, '[\x20\x09-\x0D]+', ' ', 'g'))) AS clean FROM conversations")
@@ -381,7 +381,13 @@ def recall_at_k(spark, sf_dir):
     return knn.recall(knn.nearest_batch(v.where("eid % 4 <> 1"), q, K), knn.nearest_batch(v, q, K), K).select("qid", F.round("recall", 6).alias("recall"))
 
 
-@query("hamming_bits")
+#: the bits of a 32-bit float as a whole number: sign, exponent and fraction (no subnormal numbers occur)
+BITS = "CASE WHEN x = 0 THEN 0::BIGINT ELSE (CASE WHEN x < 0 THEN 2147483648 ELSE 0 END) + (CAST(floor(log2(abs(x::DOUBLE))) AS BIGINT) + 127) * 8388608 + CAST((abs(x::DOUBLE) / pow(2, floor(log2(abs(x::DOUBLE)))) - 1) * 8388608 AS BIGINT) END"
+
+
+@query("hamming_bits", f"""WITH b AS (SELECT vec_id, list_transform(embedding, lambda x: {BITS}) AS bits FROM embeddings), {VEC}, {QRY},
+    far AS (SELECT q.qid, v.eid, CAST(list_sum(list_transform(range(1, len(a.bits) + 1), lambda i: bit_count(xor(a.bits[i], c.bits[i])))) AS DOUBLE) AS distance FROM vecs v JOIN b a ON a.vec_id = v.eid, qs q JOIN b c ON c.vec_id = q.qid)
+    SELECT *, row_number() OVER (PARTITION BY qid ORDER BY distance, eid) AS rank FROM far QUALIFY rank <= 10""")
 def hamming_bits(spark, sf_dir):
     return knn.nearest_batch(vectors(spark, sf_dir), query_vectors(spark, sf_dir), K, Metric.HAMMING)
 
