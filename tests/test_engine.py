@@ -11,29 +11,29 @@ from vectide.streaming import ingest
 from vectide.types import CollectionSettings, GraphParams, Metric, ModelClass
 
 
-def ramp(spark, n, dim, step):
-    return spark.createDataFrame([(str(i), [step * i] * dim) for i in range(n)], "eid string, embedding array<float>")
-
-
-def test_ramps(spark):
-    rows = ramp(spark, 1000, 128, 1.2)
-    assert [r.eid for r in knn.nearest(rows, [12000.0] * 128, 2).collect()] == ["999", "998"]
-    assert [r.eid for r in knn.nearest(rows, [12000.0] * 128, 2, Metric.L1).collect()] == ["999", "998"]
-    small = ramp(spark, 10, 32, 100.0)
-    assert knn.nearest(small, [0.0] * 32, 1).first().eid == "0"
+def test_nearest_of_a_line(spark):
+    """Vectors along a line: the far end is nearest to a point beyond it; without it, the next one."""
+    rows = spark.createDataFrame([(f"v{i}", [0.5 * i + d for d in range(24)]) for i in range(60)], "eid string, embedding array<float>")
+    beyond = [40.0 + d for d in range(24)]
+    for metric, far in ((Metric.L2, lambda i: 24 * (40 - 0.5 * i) ** 2), (Metric.L1, lambda i: 24 * (40 - 0.5 * i))):
+        assert [(r.eid, r.distance) for r in knn.nearest(rows, beyond, 3, metric).collect()] == [(f"v{i}", pytest.approx(far(i))) for i in (59, 58, 57)]
     from vectide.operators import store
 
-    left = store.without(small, spark.createDataFrame([("0",), ("missing",)], "eid string"))
-    assert knn.nearest(left, [0.0] * 32, 1).first().eid == "1"
+    left = store.without(rows, spark.createDataFrame([("v59",), ("missing",)], "eid string"))
+    assert knn.nearest(left, beyond, 1).first().eid == "v58"
 
 
 def test_weighted_merge(spark):
-    rows = spark.createDataFrame([("paragraph", "1", [0.0] * 768), ("title", "2", [10.0] * 768)], "field string, eid string, embedding array<float>")
-    q = spark.createDataFrame([(0, [2.0] * 768)], "qid long, embedding array<float>")
-    hits = knn.search(rows, q, ["paragraph", "title"], {"paragraph": 4, "title": 1}, 10, known=["paragraph", "title"]).orderBy("place").collect()
-    assert [(h.eid, round(h.score, 6)) for h in hits] == [("1", 0.0125), ("2", 0.8)]
+    x = {"one": ("name", [3.0, 4.0]), "two": ("text", [6.0, 8.0]), "three": ("other", [1.0, 0.0])}
+    rows = spark.createDataFrame([(f, e, v) for e, (f, v) in x.items()], "field string, eid string, embedding array<float>")
+    q = spark.createDataFrame([(0, [0.0, 0.0])], "qid long, embedding array<float>")
+    weights = {"name": 3.0, "text": 1.0}
+    far = {e: sum(c * c for c in v) for e, (_, v) in x.items()}
+    want = {e: far[e] / max(far.values()) * (1 - weights[f] / 4 if f in weights else 1) for e, (f, _) in x.items()}
+    hits = knn.search(rows, q, ["name", "text", "other"], weights, 10, known=["name", "text", "other"]).orderBy("place").collect()
+    assert [(h.eid, h.score) for h in hits] == [(e, pytest.approx(want[e])) for e in sorted(want, key=want.get)]
     with pytest.raises(ValueError):
-        knn.search(rows, q, ["non-existent"], {}, 10, known=["paragraph", "title"])
+        knn.search(rows, q, ["absent"], {}, 10, known=["name", "text", "other"])
 
 
 def test_batch_equals_single_and_all_distances_zero(spark):
@@ -54,9 +54,9 @@ def test_batch_equals_single_and_all_distances_zero(spark):
 
 
 def test_flatten():
-    assert flatten.flat({"a": {"b": "c", "d": "e", "f": "g"}}) == {"a.b": "c", "a.d": "e", "a.f": "g"}
-    doc = {"title": "T", "paragraphs": [{"content": c, "section": "s"} for c in ("c1", "c2", "c3")]}
-    assert flatten.flat(doc) == {"title": "T", "paragraphs.content": ["c1", "c2", "c3"], "paragraphs.section": ["s"] * 3}
+    assert flatten.flat({"book": {"name": "x", "year": 1999}, "ok": True}) == {"book.name": "x", "book.year": 1999, "ok": True}
+    doc = {"head": "H", "parts": [{"text": t, "lang": "en"} for t in ("one", "two")]}
+    assert flatten.flat(doc) == {"head": "H", "parts.text": ["one", "two"], "parts.lang": ["en", "en"]}
     assert flatten.flat({"p": [{"x": "one"}]}) == {"p.x": "one"}
     assert flatten.flat({"t": ["a", 1, "b"], "e": [], "o": {}, "n": None}) == {"t": ["a", 1, "b"], "n": None}
     with pytest.raises(ValueError):
@@ -110,6 +110,49 @@ def test_stream_ends_like_batch(spark, tmp_path):
     assert [r.doc_id for r in engine.documents("s").collect()] == ["b"]
 
 
+def test_stream_keeps_the_order_of_requests(spark, tmp_path):
+    engine = Engine(spark, str(tmp_path / "db"), encode)
+    engine.create(CollectionSettings("s", Metric.L2, dim=64, model_class=ModelClass.HASHING, model_name="md5-64"))
+    put = lambda i, **x: json.dumps({"_id": i, **x})
+    rows = [("b", "put", put("a", t="one"), 1), ("b", "del", "a", 2), ("b", "del", "c", 3), ("b", "put", put("c", t="two"), 4), ("b", "put", put("d", t="old"), 5), ("b", "put", put("d", t="new"), 6)]
+    ingest.apply(engine, "s", spark.createDataFrame(rows, ingest.REQUESTS).repartition(3))
+    assert {r.doc_id: json.loads(r.doc)["t"] for r in engine.documents("s").collect()} == {"c": "two", "d": "new"}
+    assert {r.eid for r in engine.vectors("s").collect()} == {"c", "d"}
+    ingest.apply(engine, "s", spark.createDataFrame([("x", "del", "d", None), ("x", "put", put("c", u="three"), None)], ingest.REQUESTS))
+    assert {(r.field, r.eid) for r in engine.vectors("s").collect()} == {("u", "c")}
+
+
+def test_a_failed_write_leaves_nothing(spark, tmp_path):
+    def load():
+        def fails(texts):
+            if "bad" in texts:
+                raise RuntimeError("no")
+            return np.ones((len(texts), 3))
+
+        return fails
+
+    embed.register(ModelClass.HASHING, "fails", load)
+    engine = Engine(spark, str(tmp_path / "db"), lambda rows: embed.encode(rows, name="fails"))
+    engine.create(CollectionSettings("s", Metric.COSINE, dim=16, model_class=ModelClass.HASHING, model_name="fails"))
+    engine.index("s", requests(spark, {"_id": "a", "t": "good"}))
+    with pytest.raises(Exception, match="not encoded: no"):
+        engine.index("s", requests(spark, {"_id": "a", "t": "bad"}, {"_id": "b", "t": "fine"}))
+    assert [(r.doc_id, json.loads(r.doc)["t"]) for r in engine.documents("s").collect()] == [("a", "good")]
+    row = engine.vectors("s").first()
+    assert len(row.embedding) == 16 and sum(x * x for x in row.embedding) == pytest.approx(1)
+    assert engine._commit("one") + 1 == engine._commit("two")
+    with pytest.raises(ValueError, match="l2"):
+        engine.opened("s", Metric.L2, 16)
+    assert engine.opened("s", Metric.COSINE, 16).count() == 1
+    with pytest.raises(ValueError, match="dimensions"):
+        other = Engine(spark, str(tmp_path / "other"))
+        other.create(CollectionSettings("s", Metric.COSINE, dim=32))
+        engine.compact("s", str(tmp_path / "other"))
+    engine.create(CollectionSettings("wide", Metric.L2, dim=2))
+    with pytest.raises(Exception, match="longer than"):
+        Engine(spark, str(tmp_path / "db"), lambda rows: embed.encode(rows, name="md5-64")).index("wide", requests(spark, {"_id": "a", "t": "x"}))
+
+
 def test_encode_errors(spark):
     def load():
         def fails(texts):

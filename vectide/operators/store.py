@@ -1,18 +1,24 @@
 """Append-only logs of documents and vectors, and the catalog of collections.
 
-Every write appends rows with a sequence number; the live view is the last row
-per key, without deletions. Compaction rewrites a log to its live view.
+A write appends rows under a name of its own to all logs that it concerns and is then
+committed: a file named by the next sequence number, which only one writer can create, takes
+the write's name. Rows of a write that was never committed are not seen, so a failed write
+leaves nothing half done, and two writers get different numbers. The live view is the last row
+per key, by sequence number and then by step within the write, without deletions. Compaction
+rewrites a log to its live view.
 """
 
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Sequence
 from dataclasses import asdict
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from vectide.functions import vectors as V
 from vectide.operators import flatten as J
 from vectide.operators import knn
 from vectide.types import CollectionSettings, Metric, ModelClass, checked_limit
@@ -21,8 +27,8 @@ VECTOR_KEY = ("collection", "field", "eid")
 
 
 def latest(log: DataFrame, keys: Sequence[str], order: str = "seq") -> DataFrame:
-    """The last row of each key; among equal sequence numbers, deletions last."""
-    newest = Window.partitionBy(*keys).orderBy(F.desc(order), F.asc("op"))
+    """The last row of each key, by sequence number and step (if there is one); among equal ones, deletions last."""
+    newest = Window.partitionBy(*keys).orderBy(F.desc(order), *[F.desc("step")] * ("step" in log.columns), F.asc("op"))
     return log.withColumn("newest", F.row_number().over(newest)).where("newest = 1").drop("newest")
 
 
@@ -40,6 +46,15 @@ def segments(rows: DataFrame, per_segment: int) -> DataFrame:
     return rows.groupBy(F.floor(F.col("vid") / per_segment).alias("segment")).agg(F.count(F.lit(1)).alias("n"))
 
 
+LOGS = {
+    "collections": ("collection string, settings string", ()),
+    "documents": ("doc_id string, doc string", ("collection",)),
+    "vectors": ("eid string, doc_id string, embedding array<float>", ("collection", "field")),
+}
+#: in a write, what goes before and what comes after
+OLD, NEW = 0, 1
+
+
 class Engine:
     """Collections under a folder: create, index, search, delete, list, drop.
 
@@ -49,28 +64,62 @@ class Engine:
     def __init__(self, spark: SparkSession, folder: str, encode=None):
         self.spark, self.folder, self.encode = spark, folder.rstrip("/"), encode
 
-    # -- catalog
+    # -- logs
+
+    def _place(self, *names: str):
+        place = self.spark._jvm.org.apache.hadoop.fs.Path("/".join([self.folder, *names]))
+        return place, place.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def _commit(self, write: str) -> int:
+        """Give a write the next sequence number. Creating the number's file fails for all writers but one."""
+        folder, fs = self._place("commits")
+        fs.mkdirs(folder)
+        seq = max([int(f.getPath().getName()) for f in fs.listStatus(folder) if f.getPath().getName().isdigit()], default=0) + 1
+        while True:
+            place, fs = self._place("commits", str(seq))
+            try:
+                out = fs.create(place, False)
+            except Exception:
+                if not fs.exists(place):
+                    raise
+                seq += 1
+                continue
+            out.write(bytearray(write.encode()))
+            out.close()
+            return seq
+
+    def _commits(self) -> DataFrame:
+        """(write, seq) of all committed writes."""
+        place, fs = self._place("commits")
+        if not fs.exists(place):
+            return self.spark.createDataFrame([], "write string, seq long")
+        named = self.spark.read.text(f"{self.folder}/commits", wholetext=True).select(F.col("value").alias("write"), F.col("_metadata.file_name").cast("long").alias("seq"))
+        return named.where("seq IS NOT NULL")
+
+    def _read(self, table: str, collection: str | None = None) -> DataFrame:
+        """A log's committed rows, of one collection if it is given, with their sequence numbers."""
+        fields, parts = LOGS[table]
+        schema = ", ".join([fields, "write string, step int, op string", *(f"{p} string" for p in parts)])
+        place, fs = self._place(table)
+        if not fs.exists(place):
+            return self.spark.createDataFrame([], f"{schema}, seq long")
+        log = self.spark.read.schema(schema).parquet(f"{self.folder}/{table}")
+        if collection is not None:
+            log = log.where(F.col("collection") == collection)
+        return log.join(self._commits(), "write")
+
+    def _append(self, table: str, rows: DataFrame, write: str, op: str, step: int, **parts: str) -> None:
+        columns = [c.split()[0] for c in LOGS[table][0].split(", ")]
+        for name, value in parts.items():
+            rows = rows.withColumn(name, F.lit(value))
+        rows = rows.select(*columns, F.lit(write).alias("write"), F.lit(step).alias("step"), F.lit(op).alias("op"), *LOGS[table][1])
+        out = rows.write.mode("append")
+        (out.partitionBy(*LOGS[table][1]) if LOGS[table][1] else out).parquet(f"{self.folder}/{table}")
 
-    def _read(self, table: str, schema: str) -> DataFrame:
-        try:
-            return self.spark.read.schema(schema).parquet(f"{self.folder}/{table}")
-        except Exception as error:
-            if "PATH_NOT_FOUND" not in str(error):
-                raise
-            return self.spark.createDataFrame([], schema)
+    # -- catalog
 
     def collections(self) -> DataFrame:
-        log = self._read("collections", "collection string, settings string, seq long, op string")
-        return live(log, ["collection"]).select("collection", "settings")
-
-    def _log(self, table: str, rows: DataFrame, *parts: str) -> None:
-        rows.write.mode("append").partitionBy(*parts).parquet(f"{self.folder}/{table}") if parts else rows.write.mode("append").parquet(f"{self.folder}/{table}")
-
-    def _next(self) -> int:
-        log = self._read("collections", "collection string, settings string, seq long, op string").select("seq")
-        log = log.union(self._read("documents", "doc_id string, doc string, seq long, op string, collection string").select("seq"))
-        log = log.union(self._read("vectors", "eid string, doc_id string, embedding array<float>, seq long, op string, collection string, field string").select("seq"))
-        return (log.agg(F.max("seq")).first()[0] or 0) + 1
+        return live(self._read("collections"), ["collection"]).select("collection", "settings")
 
     def settings(self, name: str) -> CollectionSettings:
         row = self.collections().where(F.col("collection") == name).first()
@@ -82,35 +131,33 @@ class Engine:
     def create(self, settings: CollectionSettings) -> None:
         if self.collections().where(F.col("collection") == settings.name).first() is not None:
             raise ValueError(f"collection {settings.name!r} exists")
-        row = [(settings.name, json.dumps(asdict(settings)), self._next(), "put")]
-        self._log("collections", self.spark.createDataFrame(row, "collection string, settings string, seq long, op string"))
+        write = uuid.uuid4().hex
+        self._append("collections", self.spark.createDataFrame([(settings.name, json.dumps(asdict(settings)))], LOGS["collections"][0]), write, "put", NEW)
+        self._commit(write)
 
     def drop(self, name: str) -> None:
         """Forget a collection and its rows; an unknown one is no error."""
         if self.collections().where(F.col("collection") == name).first() is None:
             return
-        seq = self._next()
-        dead = self.documents(name).select("doc_id", F.lit(None).cast("string").alias("doc"))
-        self._put_documents(name, dead, seq, "del")
-        gone = self.vectors(name).select("field", "eid", "doc_id", F.lit(None).cast("array<float>").alias("embedding"))
-        self._put_vectors(name, gone, seq, "del")
-        self._log("collections", self.spark.createDataFrame([(name, None, seq, "del")], "collection string, settings string, seq long, op string"))
+        write = uuid.uuid4().hex
+        self._forget(name, self.documents(name).select("doc_id"), write)
+        self._append("collections", self.spark.createDataFrame([(name, None)], LOGS["collections"][0]), write, "del", NEW)
+        self._commit(write)
 
     # -- rows
 
     def documents(self, name: str) -> DataFrame:
-        log = self._read("documents", "doc_id string, doc string, seq long, op string, collection string")
-        return live(log.where(F.col("collection") == name), ["doc_id"]).select("doc_id", "doc")
+        return live(self._read("documents", name), ["doc_id"]).select("doc_id", "doc")
 
     def vectors(self, name: str) -> DataFrame:
-        log = self._read("vectors", "eid string, doc_id string, embedding array<float>, seq long, op string, collection string, field string")
-        return live(log.where(F.col("collection") == name), ["field", "eid"]).select("field", "eid", "doc_id", "embedding")
+        return live(self._read("vectors", name), ["field", "eid"]).select("field", "eid", "doc_id", "embedding")
 
-    def _put_documents(self, name: str, rows: DataFrame, seq: int, op: str) -> None:
-        self._log("documents", rows.select("doc_id", "doc", F.lit(seq).cast("long").alias("seq"), F.lit(op).alias("op"), F.lit(name).alias("collection")), "collection")
-
-    def _put_vectors(self, name: str, rows: DataFrame, seq: int, op: str) -> None:
-        self._log("vectors", rows.select("eid", "doc_id", "embedding", F.lit(seq).cast("long").alias("seq"), F.lit(op).alias("op"), F.lit(name).alias("collection"), "field"), "collection", "field")
+    def _forget(self, name: str, ids: DataFrame, write: str) -> None:
+        """Deletions of documents (doc_id) and of all their elements, before whatever else the write does."""
+        dead = self.documents(name).join(ids, "doc_id", "left_semi").select("doc_id", F.lit(None).cast("string").alias("doc"))
+        self._append("documents", dead, write, "del", OLD, collection=name)
+        gone = self.vectors(name).join(ids, "doc_id", "left_semi").select("field", "eid", "doc_id", F.lit(None).cast("array<float>").alias("embedding"))
+        self._append("vectors", gone, write, "del", OLD, collection=name)
 
     def index(self, name: str, requests: DataFrame) -> None:
         """Flatten, encode and append the documents of (batch, body) requests.
@@ -118,26 +165,36 @@ class Engine:
         A document written again replaces all its elements, also those it no longer has;
         of several with one id in a call, the last of the last request stays.
         """
-        self.settings(name)
-        seq = self._next()
         newest = Window.partitionBy("doc_id").orderBy(F.desc("request"), F.desc("place"))
         docs = J.exploded(requests).withColumn("newest", F.row_number().over(newest)).where("newest = 1")
-        self._put_documents(name, docs, seq, "put")
-        stored = self._read("documents", "doc_id string, doc string, seq long, op string, collection string").where((F.col("collection") == name) & (F.col("seq") == seq)).select("doc_id", "doc")
-        old = self.vectors(name).join(stored.select("doc_id"), "doc_id", "left_semi").select("field", "eid", "doc_id", F.lit(None).cast("array<float>").alias("embedding"))
-        self._put_vectors(name, old, seq, "del")
-        rows = J.with_element_ids(J.embeddable(J.flatten(stored)))
-        rows = rows.where(F.assert_true(F.octet_length("eid") <= 16, F.lit("element id longer than 16 bytes")).isNull())
-        self._put_vectors(name, self.encode(rows).select("field", "eid", "doc_id", "embedding"), seq + 1, "put")
+        self.write(name, docs.select("doc_id", "doc", F.lit("put").alias("op")))
+
+    def write(self, name: str, rows: DataFrame) -> None:
+        """One write of (doc_id, doc, op): documents that are put, with their elements, and ids that go ("del").
+
+        A doc_id comes once. A batch that cannot be encoded, or a vector whose dimension is not the
+        collection's, fails the write, and nothing of it is seen.
+        """
+        settings = self.settings(name)
+        write = uuid.uuid4().hex
+        # written first, so that the documents are parsed and ids made up once
+        self._append("documents", rows.where("op = 'put'"), write, "put", NEW, collection=name)
+        stored = self.spark.read.schema(f"{LOGS['documents'][0]}, write string, collection string").parquet(f"{self.folder}/documents").where((F.col("collection") == name) & (F.col("write") == write))
+        self._forget(name, stored.select("doc_id").union(rows.where("op = 'del'").select("doc_id")), write)
+        elements = J.with_element_ids(J.embeddable(J.flatten(stored.select("doc_id", "doc"))))
+        elements = elements.where(F.assert_true(F.octet_length("eid") <= 16, F.lit("element id longer than 16 bytes")).isNull())
+        encoded = self.encode(elements)
+        if "err_message" in encoded.columns:
+            encoded = encoded.where(F.assert_true(F.col("err_message").isNull(), F.concat(F.lit("not encoded: "), "err_message")).isNull())
+        ready = encoded.select("field", "eid", "doc_id", V.prepared(F.col("embedding"), settings.metric, settings.dim).cast("array<float>").alias("embedding"))
+        self._append("vectors", ready, write, "put", NEW, collection=name)
+        self._commit(write)
 
     def delete(self, name: str, doc_ids: Sequence[str]) -> None:
         """Hide documents and all their elements at once; unknown ids are ignored."""
-        seq = self._next()
-        ids = self.spark.createDataFrame([(i,) for i in doc_ids], "doc_id string")
-        dead = self.documents(name).join(ids, "doc_id", "left_semi").select("doc_id", F.lit(None).cast("string").alias("doc"))
-        gone = self.vectors(name).join(ids, "doc_id", "left_semi").select("field", "eid", "doc_id", F.lit(None).cast("array<float>").alias("embedding"))
-        self._put_documents(name, dead, seq, "del")
-        self._put_vectors(name, gone, seq, "del")
+        write = uuid.uuid4().hex
+        self._forget(name, self.spark.createDataFrame([(i,) for i in doc_ids], "doc_id string"), write)
+        self._commit(write)
 
     def search(self, name: str, queries: DataFrame, attributes: Sequence[str] = (), weights: dict[str, float] | None = None, limit: int = 10, documents: bool = True) -> DataFrame:
         """qid, place, eid, doc_id, score (and doc) of queries (qid, embedding) or (qid, text)."""
@@ -145,6 +202,7 @@ class Engine:
         settings = self.settings(name)
         if "embedding" not in queries.columns:
             queries = self.encode(queries.withColumnRenamed("text", "value"))
+        queries = queries.where("embedding IS NOT NULL").withColumn("embedding", V.prepared(F.col("embedding"), settings.metric, settings.dim).cast("array<float>"))
         vectors = self.vectors(name)
         known = [r["field"] for r in vectors.select("field").distinct().collect()] if attributes else None
         hits = knn.search(vectors, queries, attributes, weights or {}, limit, settings.metric, known)
@@ -152,8 +210,22 @@ class Engine:
         return knn.with_documents(hits, self.documents(name)) if documents else hits
 
     def compact(self, name: str, to: str) -> None:
-        """Write the live rows of a collection as logs under another folder."""
-        target = Engine(self.spark, to, self.encode)
-        target.create(self.settings(name))
-        target._put_documents(name, self.documents(name), 1, "put")
-        target._put_vectors(name, self.vectors(name), 1, "put")
+        """Write the live rows of a collection as logs under another folder, where it must be new or of the same metric and geometry."""
+        settings, target = self.settings(name), Engine(self.spark, to, self.encode)
+        try:
+            there = target.settings(name)
+            if (there.metric, there.dim) != (settings.metric, settings.dim):
+                raise ValueError(f"collection {name!r} is {there.metric.value} in {there.dim} dimensions there, {settings.metric.value} in {settings.dim} here")
+        except KeyError:
+            target.create(settings)
+        write = uuid.uuid4().hex
+        target._append("documents", self.documents(name), write, "put", NEW, collection=name)
+        target._append("vectors", self.vectors(name), write, "put", NEW, collection=name)
+        target._commit(write)
+
+    def opened(self, name: str, metric: Metric, dim: int) -> DataFrame:
+        """The live vectors of a stored collection, which must be of this metric and dimension."""
+        settings = self.settings(name)
+        if (settings.metric, settings.dim) != (metric, dim):
+            raise ValueError(f"collection {name!r} is {settings.metric.value} in {settings.dim} dimensions, not {metric.value} in {dim}")
+        return self.vectors(name)
