@@ -69,3 +69,50 @@ def test_unknown_models_and_empty_queries(spark):
     assert knn.nearest_batch(rows, none, 3).count() == 0
     with pytest.raises(FileNotFoundError):
         embed.onnx("/missing.onnx", "/missing.json")()
+
+
+def test_guided_walk_and_counters(spark):
+    """A walk by codes finds nearly what exact distances find, and measures only what it expands."""
+    rng = np.random.default_rng(2)
+    x = (rng.normal(size=(12, 16))[rng.integers(0, 12, 1500)] + 0.5 * rng.normal(size=(1500, 16))).astype(np.float32)
+    params = GraphParams(degree=16, queue=48, pool=64)
+    built = graph.Graph(x, Metric.L2, params).build()
+    assert ((built.nbrs >= 0).sum(1) <= 1.3 * 16).all() and ((built.nbrs >= 0).sum(1) > 0).all()
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "eid long, embedding array<float>")
+    book = quantize.train_product(rows, 16, 4, centres=64).cache()
+    pivots = [np.array([r.pivot for r in book.where(F.col("chunk") == c).orderBy("center").collect()], np.float32) for c in range(4)]
+    codes = np.stack([((x[:, None, 4 * c : 4 * c + 4] - pivots[c][None]) ** 2).sum(2).argmin(1) for c in range(4)], 1)
+    q = x[::30] + 0.01
+    truth = [set(np.argsort(((x - y) ** 2).sum(1))[:10].tolist()) for y in q]
+    plain, guided = graph.Counters(), graph.Counters()
+    exact, _ = built.search(q, 48, 10, counters=plain)
+    coded, dist = built.search(q, 48, 10, lookup=graph.Lookup(codes, pivots), counters=guided)
+    assert np.mean([len(t & set(r)) / 10 for t, r in zip(truth, exact.tolist(), strict=True)]) > 0.97
+    assert np.mean([len(t & set(r)) / 10 for t, r in zip(truth, coded.tolist(), strict=True)]) > 0.9
+    assert np.allclose(dist[0], ((x[coded[0]] - q[0]) ** 2).sum(1), rtol=1e-4) and (np.diff(dist, axis=1) >= 0).all()
+    assert guided.measured == guided.expanded < guided.looked_up and plain.looked_up == 0
+    hidden = np.zeros(1500, bool)
+    hidden[coded[0][:3]] = True
+    assert not set(built.search(q[:1], 48, 10, hidden)[0][0].tolist()) & set(coded[0][:3].tolist())
+
+
+def test_graph_on_disk_by_shard_and_guided_in_a_plan(spark, tmp_path):
+    rng = np.random.default_rng(8)
+    rows = spark.createDataFrame([(str(i), v.tolist()) for i, v in enumerate(rng.normal(size=(400, 8)).astype(np.float32))] + [("999", None)], "eid string, embedding array<float>")
+    params = GraphParams(degree=12, queue=48, pool=64)
+    graph.write(graph.build(rows, params=params, shards=3), str(tmp_path / "g"))
+    again = graph.read(str(tmp_path / "g"), spark)
+    q = rows.where("eid % 40 = 0 AND embedding IS NOT NULL").select(F.col("eid").cast("long").alias("qid"), "embedding")
+    truth = knn.nearest_batch(rows, q, 5)
+    book = quantize.train_product(rows.where("embedding IS NOT NULL").select(F.col("eid").cast("long").alias("eid"), "embedding"), 8, 4, centres=32)
+    for found in (graph.search(again, q, 5, params=params), graph.search(again, q, 5, params=params, codebook=book)):
+        got = [r.recall for r in knn.recall(found.where("rank <= 5"), truth, 5).collect()]
+        assert np.mean(got) > 0.9
+    assert "shard=1" in {p.name for p in (tmp_path / "g").iterdir()}
+
+
+def test_too_many_queries_for_one_graph_search(spark, monkeypatch):
+    monkeypatch.setattr(graph, "MOST_QUERIES", 3)
+    rows = spark.createDataFrame([(i, [float(i)]) for i in range(5)], "eid long, embedding array<float>")
+    with pytest.raises(ValueError, match="more than 3 queries"):
+        graph.search(graph.build(rows), rows.withColumnRenamed("eid", "qid"), 1)
