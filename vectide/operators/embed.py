@@ -9,7 +9,6 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Callable, Iterable, Iterator, Sequence
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -55,32 +54,6 @@ def hashing(dim: int = 64) -> Encode:
 register(ModelClass.HASHING, "md5-64", hashing)
 
 
-def onnx(path: str, tokenizer_path: str, max_tokens: int = 512, pool: bool = True) -> Callable[[], Encode]:
-    """Loader for a text model in ONNX form: token ids and mask in, masked mean of its hidden states out."""
-
-    def load() -> Encode:
-        import onnxruntime
-        from tokenizers import Tokenizer
-
-        if not Path(path).exists():
-            raise FileNotFoundError(f"model weights missing: {path}")
-        session = onnxruntime.InferenceSession(path)
-        tokenizer = Tokenizer.from_file(tokenizer_path)
-        wanted = {i.name for i in session.get_inputs()}
-
-        def encode(texts: Sequence[str]) -> np.ndarray:
-            ids = [e.ids[:max_tokens] for e in tokenizer.encode_batch(list(texts))]
-            n = max(map(len, ids))
-            feed = {"input_ids": np.array([x + [0] * (n - len(x)) for x in ids], np.int64), "attention_mask": np.array([[1] * len(x) + [0] * (n - len(x)) for x in ids], np.int64)}
-            feed["token_type_ids"] = np.zeros_like(feed["input_ids"])
-            hidden = session.run(None, {k: v for k, v in feed.items() if k in wanted})[0]
-            return average_pool(hidden, feed["attention_mask"]) if pool else hidden
-
-        return encode
-
-    return load
-
-
 def average_pool(hidden: np.ndarray, mask: np.ndarray) -> np.ndarray:
     """Mean over the unmasked tokens (rows x tokens x dims)."""
     m = mask[:, :, None].astype(np.float64)
@@ -97,7 +70,8 @@ def encode(rows: DataFrame, model_class: ModelClass = ModelClass.HASHING, name:
     """Rows (with ``value``, and ``instruction`` if there is one) plus embedding and err_message.
 
     A batch that fails gives its rows an error and no embedding; others go on. A wrong kind
-    of content or an unknown model fails the call.
+    of content or an unknown model fails the call. Instructions go before the texts, or to the model
+    beside them if it takes them so.
     """
     checked_content(model_class, kind)
     load = loader(model_class, name)
@@ -110,10 +84,18 @@ def encode(rows: DataFrame, model_class: ModelClass = ModelClass.HASHING, name:
             for at in range(0, whole.num_rows, batch):
                 part = whole.slice(at, batch)
                 texts = part.column(names.index("value")).to_pylist()
+                told = None
                 if prefix:
-                    texts = [(i or "") + (t or "") for i, t in zip(part.column(names.index("instruction")).to_pylist(), texts, strict=True)]
+                    given = [i or "" for i in part.column(names.index("instruction")).to_pylist()]
+                    if getattr(model, "takes_instructions", False):
+                        told = given
+                    else:
+                        texts = [i + (t or "") for i, t in zip(given, texts, strict=True)]
                 try:
-                    found, errors = pa.array(list(np.asarray(model(texts), np.float32)), pa.list_(pa.float32())), pa.nulls(part.num_rows, pa.string())
+                    got = model(texts, told) if told is not None else model(texts)
+                    if len(got) != len(texts):
+                        raise ValueError(f"{len(got)} vectors for {len(texts)} texts")
+                    found, errors = pa.array(list(np.asarray(got, np.float32)), pa.list_(pa.float32())), pa.nulls(part.num_rows, pa.string())
                 except Exception as error:  # reported per row
                     found, errors = pa.nulls(part.num_rows, pa.list_(pa.float32())), pa.array([str(error)] * part.num_rows)
                 yield pa.RecordBatch.from_arrays([*part.columns, found, errors], [*names, "embedding", "err_message"])

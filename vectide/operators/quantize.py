@@ -21,10 +21,11 @@ QUANTILE, LEVELS = 0.99, 255
 CENTRES, ITERATIONS = 256, 12
 
 
-def fit_scalar(vectors: DataFrame, quantile: float = QUANTILE, accuracy: int | None = None) -> DataFrame:
+def fit_scalar(vectors: DataFrame, quantile: float = QUANTILE, accuracy: int | None = 10_000) -> DataFrame:
     """One row (offset, alpha): the least value, and the step to the quantile.
 
-    ``accuracy`` bounds the sketch; without it the quantile is exact.
+    The quantile's rank is right to one in ``accuracy``; None makes it exact, for which one task
+    holds all distinct values.
     """
     x = vectors.select(F.explode(V.doubles(F.col("embedding"))).alias("x"))
     top = F.percentile("x", F.lit(quantile)) if accuracy is None else F.percentile_approx("x", F.lit(quantile), accuracy)

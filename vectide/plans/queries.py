@@ -401,12 +401,12 @@ CODED = f"{FIT}, coded AS (SELECT vec_id AS eid, off, alpha, {CODE} AS codes FRO
 
 def coded(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = vectors(spark, sf_dir).select("eid", "embedding")
-    return quantize.encode_scalar(v, quantize.fit_scalar(v))
+    return quantize.encode_scalar(v, quantize.fit_scalar(v, accuracy=None))
 
 
 @query("sq_params", f"WITH {FIT} SELECT round(off, 6) AS off, round(alpha, 6) AS alpha FROM fit")
 def sq_params(spark, sf_dir):
-    return quantize.fit_scalar(vectors(spark, sf_dir)).select(F.round("offset", 6).alias("off"), F.round("alpha", 6).alias("alpha"))
+    return quantize.fit_scalar(vectors(spark, sf_dir), accuracy=None).select(F.round("offset", 6).alias("off"), F.round("alpha", 6).alias("alpha"))
 
 
 @query("sq_encode", f"WITH {CODED} SELECT eid, CAST(list_sum(codes) AS BIGINT) AS total, CAST(list_max(codes) AS INTEGER) AS most FROM coded")
@@ -483,7 +483,7 @@ def pq_rerank(spark, sf_dir):
 
 @query("pq_train")
 def pq_train(spark, sf_dir):
-    return quantize.train_product(vectors(spark, sf_dir), DIM, CHUNKS, centres=32)
+    return quantize.train_product(vectors(spark, sf_dir), DIM, CHUNKS)
 
 
 # ---- graphs
@@ -525,23 +525,22 @@ def hot_nodes(spark, sf_dir):
     return graph.hot_nodes(adjacency(spark, sf_dir).select(F.explode("nbrs").alias("vid")), 20)
 
 
-SMALL_GRAPH = GraphParams(degree=16, queue=64, pool=64)
 
 
 @query("graph_build")
 def graph_build(spark, sf_dir):
-    return graph.build(vectors(spark, sf_dir), params=SMALL_GRAPH).select("shard", "vid", "eid", "nbrs")
+    return graph.build(vectors(spark, sf_dir)).select("shard", "vid", "eid", "nbrs")
 
 
 @query("graph_search")
 def graph_search(spark, sf_dir):
-    return graph.search(graph.build(vectors(spark, sf_dir), params=SMALL_GRAPH), query_vectors(spark, sf_dir), K, params=SMALL_GRAPH)
+    return graph.search(graph.build(vectors(spark, sf_dir)), query_vectors(spark, sf_dir), K)
 
 
 @query("graph_consolidate")
 def graph_consolidate(spark, sf_dir):
     gone = dead(spark, sf_dir).select(F.col("vid").alias("eid"))
-    return graph.consolidate(graph.build(vectors(spark, sf_dir), params=SMALL_GRAPH), gone, params=SMALL_GRAPH).select("shard", "vid", "eid", "nbrs")
+    return graph.consolidate(graph.build(vectors(spark, sf_dir)), gone).select("shard", "vid", "eid", "nbrs")
 
 
 # ---- pairs and encoding

@@ -71,6 +71,64 @@ def read_matrix(spark: SparkSession, path: str, kind: str = "f32", offset: int =
     return _rows(_files(spark, path), lambda raw: matrix(raw, dtype, offset), sql, arrow)
 
 
+def pivots(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(centres x dims, centroid, chunk offsets) of a product quantizer: places of three matrices, as u64, then those."""
+    at = matrix(raw, np.dtype("<u8")).reshape(-1)
+    centres = matrix(raw, np.dtype("<f4"), int(at[0]))
+    centroid, offsets = matrix(raw, np.dtype("<f4"), int(at[1])).reshape(-1), matrix(raw, np.dtype("<u4"), int(at[2])).reshape(-1)
+    if len(centroid) != centres.shape[1] or offsets[-1] != centres.shape[1]:
+        raise ValueError(f"centres have {centres.shape[1]} dimensions, the centroid {len(centroid)}, the chunks {int(offsets[-1])}")
+    return centres, centroid, offsets
+
+
+def read_pivots(spark: SparkSession, path: str) -> DataFrame:
+    """chunk, center, pivot: the codebook in a file of pivots; centred, as its writer took the centroid off."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for raw in batch.column(0).to_pylist():
+                centres, _, offsets = pivots(raw)
+                for c, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
+                    n = len(centres)
+                    yield pa.RecordBatch.from_arrays([pa.array([c] * n, pa.int32()), pa.array(np.arange(n, dtype=np.int32)), pa.array(list(centres[:, a:b]), pa.list_(pa.float32()))], ["chunk", "center", "pivot"])
+
+    return _files(spark, path).select("content").mapInArrow(run, "chunk int, center int, pivot array<float>")
+
+
+def read_codes(spark: SparkSession, path: str) -> DataFrame:
+    """path, id, embedding (a code for each chunk) of files [u32 rows][u32 chunks][u32 codes]."""
+    return read_matrix(spark, path, "u32")
+
+
+def packed_matrix(x: np.ndarray) -> bytes:
+    return np.array(x.shape, "<u4").tobytes() + np.ascontiguousarray(x).tobytes()
+
+
+def packed_pivots(centres: np.ndarray, centroid: np.ndarray, offsets: np.ndarray) -> bytes:
+    """What ``pivots`` reads."""
+    parts = [packed_matrix(centres.astype("<f4")), packed_matrix(centroid.astype("<f4")[:, None]), packed_matrix(np.asarray(offsets, "<u4")[:, None])]
+    head = 8 + 8 * len(parts)
+    places = np.array([head + sum(map(len, parts[:i])) for i in range(len(parts))], "<u8")
+    return packed_matrix(places[:, None]) + b"".join(parts)
+
+
+def write_codes(coded: DataFrame, path: str, chunks: int) -> DataFrame:
+    """Codes (eid, chunk, center) as files of bytes, one for each partition of eids, with the eids in it: part, eids, content.
+
+    The rows are written as Parquet; ``content`` is in the format of ``read_codes``.
+    """
+    rows = coded.groupBy("eid").agg(F.transform(F.array_sort(F.collect_list(F.struct("chunk", "center"))), lambda x: x["center"]).alias("codes"))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            codes = batch.column(1).flatten().to_numpy().reshape(-1, chunks).astype("<u4")
+            yield pa.RecordBatch.from_arrays([pa.array([batch.column(0).cast(pa.string()).to_pylist()], pa.list_(pa.string())), pa.array([packed_matrix(codes)], pa.binary())], ["eids", "content"])
+
+    out = rows.mapInArrow(run, "eids array<string>, content binary")
+    out.write.parquet(path)
+    return coded.sparkSession.read.schema(out.schema).parquet(path)
+
+
 def read_bundle(spark: SparkSession, folder: str, name: str = "sift", k: int = 10) -> dict[str, DataFrame]:
     """Base and query vectors and true neighbours of a benchmark folder."""
     return {

@@ -8,6 +8,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# File endings, label names and the default model, as the formats have them.
 IMAGE_NAMES = r"\.(png|jpg|jpeg|JPG|JPEG|webp)$"
 LABELS = {"entailment": 1, "contradiction": 0}
 
@@ -40,6 +41,20 @@ def read_pair_labels(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("line", F.get(cells, F.lit(5)).alias("a"), F.get(cells, F.lit(6)).alias("b"), F.element_at(label, cells[0]).alias("label")).where("label IS NOT NULL")
 
 
+def write_sentences(rows: DataFrame, path: str) -> None:
+    """(sentence, embedding) as JSON lines, a header line first in every file, as ``read_sentences`` takes them."""
+    body = F.to_json(F.struct("sentence", F.col("embedding").alias("embeddings")))
+
+    def run(batches):
+        import pyarrow as pa
+
+        yield pa.RecordBatch.from_arrays([pa.array(['{"record": "sentences"}'])], ["value"])
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0)], ["value"])
+
+    rows.select(body.alias("value")).mapInArrow(run, "value string").write.text(path)
+
+
 def models(text: str | None) -> list[dict[str, object]]:
     """Models of a YAML list of flat mappings (name and class required); without one, the default."""
     if text is None:
@@ -61,6 +76,63 @@ def models(text: str | None) -> list[dict[str, object]]:
     return out
 
 
+AGENT = "vectide"
+
+
+def fetched(uri: str, timeout: float = 30.0) -> bytes:
+    """The bytes behind an http(s) address."""
+    from urllib.request import Request, urlopen
+
+    if not uri.startswith(("http://", "https://")):
+        raise ValueError(f"not an http address: {uri}")
+    with urlopen(Request(uri, headers={"User-Agent": AGENT}), timeout=timeout) as answer:
+        return answer.read()
+
+
+def fetch_images(uris: DataFrame, timeout: float = 30.0) -> DataFrame:
+    """uri, content, err_message: each address once, in the tasks; a failure is told in its row."""
+    import pyarrow as pa
+
+    def run(batches):
+        for batch in batches:
+            for uri in batch.column(0).to_pylist():
+                try:
+                    content, error = fetched(uri, timeout), None
+                except Exception as problem:  # reported per row
+                    content, error = None, str(problem)
+                yield pa.RecordBatch.from_arrays([pa.array([uri]), pa.array([content], pa.binary()), pa.array([error], pa.string())], ["uri", "content", "err_message"])
+
+    return uris.select("uri").distinct().mapInArrow(run, "uri string, content binary, err_message string")
+
+
+def download(uri: str, path: str, md5: str, timeout: float = 60.0, block: int = 1 << 20) -> str:
+    """Bring a file whose MD5 is known to a path. A ``.part`` file left by an earlier try is resumed.
+
+    A server that answers 416 has nothing beyond the part; one that ignores the range sends the whole
+    file again. A wrong digest is an error and leaves nothing.
+    """
+    from urllib.error import HTTPError
+    from urllib.request import Request, urlopen
+
+    if Path(path).exists() and verified(path, md5):
+        return path
+    part = Path(f"{path}.part")
+    have = part.stat().st_size if part.exists() else 0
+    headers = {"User-Agent": AGENT} | ({"Range": f"bytes={have}-"} if have else {})
+    try:
+        with urlopen(Request(uri, headers=headers), timeout=timeout) as answer, part.open("ab" if answer.status == 206 else "wb") as out:
+            while got := answer.read(block):
+                out.write(got)
+    except HTTPError as error:
+        if error.code != 416 or not have:
+            raise
+    if not verified(str(part), md5):
+        part.unlink()
+        raise ValueError(f"{uri} has another MD5 than {md5}")
+    part.rename(path)
+    return path
+
+
 def verified(path: str, md5: str) -> bool:
     """Whether a file has this MD5."""
     digest = hashlib.md5()
@@ -68,15 +140,3 @@ def verified(path: str, md5: str) -> bool:
         while block := f.read(1 << 20):
             digest.update(block)
     return digest.hexdigest() == md5.lower()
-
-
-def complete(path: str, body: bytes, offset: int, md5: str) -> bool:
-    """Append a resumed download to its ``.part`` file; name it finally once its MD5 is right."""
-    part = Path(f"{path}.part")
-    with part.open("r+b" if part.exists() else "wb") as f:
-        f.seek(offset)
-        f.write(body)
-    if not verified(str(part), md5):
-        return False
-    part.rename(path)
-    return True

@@ -94,3 +94,9 @@ def chunk_offsets(dim: int, chunks: int) -> list[int]:
 def ram_estimate(n: int, dim: int, item_bytes: int, degree: int) -> float:
     """Bytes an in-memory graph of ``n`` vectors needs."""
     return 1.1 * (n * dim * item_bytes + n * degree * 8 * 1.2 + n + 4 * n)
+
+
+def ram_budget(gigabytes: float, cached: float = 0.25, least: float = 0.25) -> float:
+    """Bytes for an index when so many gigabytes may be used: a share is kept for cached nodes if enough is left."""
+    left = gigabytes - cached
+    return (left if left > least else gigabytes) * 2**30
