@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from vectide.llm.components import components, cut_lineage, free_shuffles
 from vectide.llm.tables import discard, stored, summed
-from vectide.llm.text import U64, Words, mix, pieces, spans
+from vectide.llm.text import U64, Words, mix, pieces, spans, tidy
 
 #: a coordinate joins so many minimal hashes; signatures of alike documents share so many coordinates
 ROWS, COORDINATES, MATCHES = 2, 32, 6
@@ -122,7 +122,7 @@ def signed(docs: DataFrame, size: int) -> DataFrame:
                 ["doc_id", "n_shingles", "k1", "k2", "sig"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, k1 long, k2 long, sig array<int>")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), "doc_id long, n_shingles long, k1 long, k2 long, sig array<int>")
 
 
 def _tokens(column: pa.Array) -> np.ndarray:
@@ -179,7 +179,7 @@ def _postings(classes: DataFrame, n: int) -> DataFrame:
                 columns = [pa.array(chosen), batch.column(0).take(take), batch.column(1).take(take), pa.array(np.repeat(mask, prefix))]
                 yield pa.RecordBatch.from_arrays(columns, ["token", "cls", "n", "mask"])
 
-    return classes.select("cls", "n", "sig").mapInArrow(run, "token long, cls long, n long, mask long")
+    return classes.select("cls", "n", "sig").mapInArrow(tidy(run), "token long, cls long, n long, mask long")
 
 
 def _still_open(lists: DataFrame, label: DataFrame | None, order: Column) -> tuple[DataFrame, int]:
@@ -365,7 +365,7 @@ def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
             part = batch.filter(pa.array((sent.value[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)))
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array([deflate((t or "").encode()) for t in part.column(1).to_pylist()], pa.binary())], ["cls", "packed"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "cls long, packed binary")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), "cls long, packed binary")
 
 
 def _confirmed(matched: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
@@ -396,7 +396,7 @@ def _confirmed(matched: DataFrame, docs: DataFrame, size: int, percent: int) ->
                     links.append((x, y))
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], pa.int64()), pa.array([y for _, y in links], pa.int64())], ["a", "b"])
 
-    return rows.mapInArrow(run, "a long, b long")
+    return rows.mapInArrow(tidy(run), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, size_words: int = 5, percent: int = 80) -> DataFrame:

@@ -10,8 +10,9 @@ and the few pieces left are packed greedily. Pieces are ranked within their
 class, and ranks map to patterns, copies and places.
 
 Only the histogram reaches the driver: its size does not depend on the data.
-Null and empty texts are one piece, the end id. Repeated rows are packed each.
-An empty table gives no pieces.
+Null and empty texts are one piece, the end id. Repeated rows and rows without an id are packed
+each. A very long text is encoded whole and gives as many pieces as it takes. Columns beyond
+doc_id and text are not read. An empty table gives no pieces.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vectide.llm.tables import stored
-from vectide.llm.text import pieces
+from vectide.llm.text import pieces, tidy
 from vectide.llm.tokens import default_tokenizer, tokenizer
 
 CAPACITY, UNIT, END_ID = 4096, 16, 2
@@ -168,7 +169,7 @@ def cut(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end_
             yield pa.RecordBatch.from_arrays(columns, fields)
 
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<int>" * with_ids
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), schema)
 
 
 def class_width(length: Column, capacity: int = CAPACITY, unit: int = UNIT) -> Column:
@@ -183,16 +184,17 @@ def class_width(length: Column, capacity: int = CAPACITY, unit: int = UNIT) -> C
 def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, unit: int = UNIT, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
     """The pieces of ``cut`` with their sequence_id and offset in it."""
     width = class_width(F.col("length"), capacity, unit)
-    cuts = stored(cut(docs, path, capacity, end_id, with_ids).withColumn("width", width))
+    # each piece has a number of its own, so that neither equal rows nor rows without an id fill a block
+    cuts = stored(cut(docs, path, capacity, end_id, with_ids).withColumns({"width": width, "piece": F.monotonically_increasing_id()}))
     blocks = max(1, min(100_000, cuts.count() // 2000))
-    cuts = cuts.withColumn("block", F.pmod(F.xxhash64("doc_id", "start"), F.lit(blocks)).cast("int"))
+    cuts = cuts.withColumn("block", F.pmod(F.xxhash64("piece"), F.lit(blocks)).cast("int"))
     counted = cuts.groupBy("block", "width").agg(F.count(F.lit(1)).alias("n"))
     histogram = {r["width"]: r["n"] for r in counted.groupBy("width").agg(F.sum("n").alias("n")).collect()}
     places = Places(histogram, capacity)
     before = Window.partitionBy("width").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     starts = counted.select("block", "width", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    inside = Window.partitionBy("block", "width").orderBy("doc_id", "start", "ids_crc32")
-    ranked = cuts.withColumn("rank", F.row_number().over(inside) - 1).join(starts, ["block", "width"]).withColumn("rank", F.col("rank") + F.col("before")).drop("before", "block")
+    inside = Window.partitionBy("block", "width").orderBy("piece")
+    ranked = cuts.withColumn("rank", F.row_number().over(inside) - 1).join(starts, ["block", "width"]).withColumn("rank", F.col("rank") + F.col("before")).drop("before", "block", "piece")
 
     def place(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -201,6 +203,6 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, uni
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(at)], [*names, "sequence_id"])
 
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in ranked.schema.fields)
-    placed = ranked.mapInArrow(place, f"{fields}, sequence_id long")
+    placed = ranked.mapInArrow(tidy(place), f"{fields}, sequence_id long")
     earlier = Window.partitionBy("sequence_id").orderBy(F.desc("width"), "rank").rowsBetween(Window.unboundedPreceding, -1)
     return placed.withColumn("offset", F.coalesce(F.sum("length").over(earlier), F.lit(0))).drop("width", "rank")

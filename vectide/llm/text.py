@@ -7,7 +7,10 @@ points. Null texts count as empty throughout.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+import contextlib
+import ctypes
+import functools
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -146,6 +149,19 @@ def pieces(batches: Iterable[pa.RecordBatch], text: str = "text", limit: int = 1
                 yield batch.slice(a, b - a)
 
 
+def tidy(run: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run``, after which a worker gives back what memory its arrays took: workers wait for their next task for long."""
+
+    @functools.wraps(run)
+    def whole(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # only some C libraries can
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return whole
+
+
 def _lengths(batch: pa.RecordBatch, text: str) -> np.ndarray:
     return pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(text))), 0).to_numpy(zero_copy_only=False).astype(np.int64)
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vectide.llm.text import U64, Words, mix, pieces
+from vectide.llm.text import U64, Words, mix, pieces, tidy
 
 BITS = 20
 STEMS = (5, 6, 7, 8)
@@ -109,7 +109,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, params: Ftrl
             bucket, weight, bias = params.fit([d for _, d, _ in found], y)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(bucket, -1), pa.int64()), pa.array(np.append(weight, bias), pa.float64())], ["bucket", "weight"])
 
-    return rows.mapInArrow(fit, "bucket long, weight double")
+    return rows.mapInArrow(tidy(fit), "bucket long, weight double")
 
 
 def _scorer(docs: DataFrame, model: DataFrame) -> Callable[[], Callable[[pa.Array], np.ndarray]]:
@@ -148,7 +148,7 @@ def score(docs: DataFrame, model: DataFrame) -> DataFrame:
         for piece in pieces(batches, limit=1 << 20):
             yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(scores(piece.column(1)))], ["doc_id", "score"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), "doc_id long, score double")
 
 
 def accepted(docs: DataFrame, model: DataFrame, threshold: float) -> DataFrame:
@@ -160,4 +160,4 @@ def accepted(docs: DataFrame, model: DataFrame, threshold: float) -> DataFrame:
         for piece in pieces(batches, limit=1 << 20):
             yield piece.filter(pa.array(scores(piece.column(at)) < threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
