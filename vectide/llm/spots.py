@@ -148,7 +148,7 @@ def neighbours(docs: DataFrame, part_bytes: int = 4 << 20) -> DataFrame:
     that number parts grow; a task streams its parts.
     """
     docs = docs.select("doc_id", F.xxhash64("text").alias("h"), "text")
-    parts = min(MOST_PARTS, groups_for(docs, part_bytes, 50, 256))
+    parts = min(MOST_PARTS, groups_for(docs, part_bytes, 50, 48))
     rows, nulls = docs.select(F.count(F.lit(1)), F.count_if(F.col("doc_id").isNull())).first()
     marks = docs.where("doc_id IS NOT NULL").agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)] or [0.5], 20 * parts)).first()[0] or []
     part = _dealer(np.unique(np.array(marks, np.int64)), max(1, math.ceil(parts * nulls / max(1, rows))))
