@@ -2,7 +2,9 @@
 
 ``store`` gives each text's bytes, filled with zero bytes to a positive
 multiple of 64, as a lossless progressive JPEG (see ``jpeg``). ``read`` decodes
-a column of JPEGs. Null texts count as empty, null media gives nulls.
+a column of JPEGs. Null texts count as empty, null media gives nulls. Equal texts give equal
+media, row by row, with or without an id. A very long text becomes one tall image. Columns
+beyond doc_id and text are not read; an empty table gives no rows.
 """
 
 from __future__ import annotations

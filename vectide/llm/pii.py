@@ -6,7 +6,11 @@ adjacent, are added as spans where they do not overlap a base span. It was
 trained from the small labelled table ``EXAMPLES`` and is decoded by Viterbi,
 many word sequences at a time.
 
-Positions are code points, ends exclusive. Null and empty texts have no spans.
+Positions are code points, ends exclusive. Null and empty texts have no spans. Overlapping
+spans of different kinds all stay, ties by the order of the kinds. Texts are read whole; a long
+stretch of numbers is decoded with few others at a time. Repeated rows have equal spans. The
+functions take a column of texts, so other columns and their names do not matter; an empty one
+gives no rows.
 """
 
 from __future__ import annotations

@@ -9,7 +9,9 @@ rows.
 
 Null and empty texts have no features and get the bias alone. Without labelled
 rows of both classes every score is the share of toxic rows (0 with none).
-Repeated rows are scored alike.
+Repeated rows are scored alike. Labels of an unknown or missing id, or other than 0 and 1, are left
+out; an id labelled twice counts with each label. Texts are read whole, however long. Columns
+beyond doc_id and text are not read (``accepted`` carries them); an empty table gives no rows.
 """
 
 from __future__ import annotations
