@@ -36,9 +36,13 @@ E5 = (("E5_LARGE", 1024), ("E5_BASE", 768), ("E5_SMALL", 384))
 HASHING = (("md5-64", 64),)
 
 
-def catalog(spark: SparkSession) -> DataFrame:
+def rows() -> list[tuple[str, str, int | None, int | None]]:
     """model_class, model_name, and image_size or dims."""
-    rows = [("clip", n, s, None) for n, s in CLIP]
+    out: list[tuple[str, str, int | None, int | None]] = [("clip", n, s, None) for n, s in CLIP]
     for kind, models in (("instructor", INSTRUCTOR), ("e5", E5), ("hashing", HASHING)):
-        rows += [(kind, n, None, d) for n, d in models]
-    return spark.createDataFrame(rows, "model_class string, model_name string, image_size int, dims int")
+        out += [(kind, n, None, d) for n, d in models]
+    return out
+
+
+def catalog(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(rows(), "model_class string, model_name string, image_size int, dims int")

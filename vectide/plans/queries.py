@@ -620,6 +620,12 @@ def encode(spark, sf_dir):
     return embed.encode(rows).select("id", "embedding", "err_message")
 
 
-@query("model_catalog")
+def catalog_sql() -> str:
+    value = lambda x: "NULL" if x is None else f"'{x}'" if isinstance(x, str) else str(x)
+    rows = ", ".join(f"({', '.join(map(value, r))})" for r in models.rows())
+    return f"SELECT model_class, model_name, CAST(image_size AS INTEGER) AS image_size, CAST(dims AS INTEGER) AS dims FROM (VALUES {rows}) t(model_class, model_name, image_size, dims)"
+
+
+@query("model_catalog", catalog_sql())
 def model_catalog(spark, sf_dir):
     return models.catalog(spark)
