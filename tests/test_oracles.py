@@ -4,6 +4,7 @@ import duckdb
 import numpy as np
 import pytest
 
+from vectide.plans import formats  # noqa: F401  registers its queries
 from vectide.plans import queries as plans
 
 SF = "/root/testdata/sf0.001"

@@ -53,22 +53,56 @@ def _rows(files: DataFrame, parse, sql: str, arrow: pa.DataType) -> DataFrame:
     return files.mapInArrow(run, f"path string, id long, embedding array<{sql}>")
 
 
+def packed_vecs(x: np.ndarray) -> bytes:
+    """Rows as ``vecs`` reads them."""
+    head = np.full((len(x), 1), x.shape[1], "<u4").view(np.uint8)
+    return np.concatenate([head, np.ascontiguousarray(x).view(np.uint8).reshape(len(x), -1)], 1).tobytes()
+
+
+def as_files(rows: DataFrame, pack, kind: str = "f4") -> DataFrame:
+    """(path, content): the vectors of column embedding, packed to the bytes of a file for every batch that a task holds."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        task = TaskContext.get().partitionId()
+        for i, batch in enumerate(batches):
+            if batch.num_rows:
+                x = batch.column(0).flatten().to_numpy(zero_copy_only=False).astype(f"<{kind}").reshape(batch.num_rows, -1)
+                yield pa.RecordBatch.from_arrays([pa.array([f"part-{task}-{i}"]), pa.array([pack(x)], pa.binary())], ["path", "content"])
+
+    return rows.select("embedding").mapInArrow(run, "path string, content binary")
+
+
 def read_fvecs(spark: SparkSession, path: str) -> DataFrame:
     """path, id (ordinal in the file), embedding."""
-    return _rows(_files(spark, path), lambda raw: vecs(raw, np.dtype("<f4")), "float", pa.float32())
+    return parse_fvecs(_files(spark, path))
+
+
+def parse_fvecs(files: DataFrame) -> DataFrame:
+    return _rows(files, lambda raw: vecs(raw, np.dtype("<f4")), "float", pa.float32())
 
 
 def read_ivecs(spark: SparkSession, path: str, k: int | None = None) -> DataFrame:
     """query_id, place, id: the first k true neighbours of each query."""
-    rows = _rows(_files(spark, path), lambda raw: vecs(raw, np.dtype("<i4")), "int", pa.int32())
+    return parse_ivecs(_files(spark, path), k)
+
+
+def parse_ivecs(files: DataFrame, k: int | None = None) -> DataFrame:
+    rows = _rows(files, lambda raw: vecs(raw, np.dtype("<i4")), "int", pa.int32())
     out = rows.select(F.col("id").alias("query_id"), F.posexplode("embedding").alias("place", "id"))
     return out.where(F.col("place") < k) if k is not None else out
 
 
 def read_matrix(spark: SparkSession, path: str, kind: str = "f32", offset: int = 0) -> DataFrame:
+    """path, id (row in the file), embedding of matrices that begin at an offset."""
+    return parse_matrix(_files(spark, path), kind, offset)
+
+
+def parse_matrix(files: DataFrame, kind: str = "f32", offset: int = 0) -> DataFrame:
     dtype, sql = TYPES[kind]
     arrow = {"float": pa.float32(), "long": pa.int64(), "smallint": pa.int16()}[sql]
-    return _rows(_files(spark, path), lambda raw: matrix(raw, dtype, offset), sql, arrow)
+    return _rows(files, lambda raw: matrix(raw, dtype, offset), sql, arrow)
 
 
 def pivots(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -83,6 +117,10 @@ def pivots(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def read_pivots(spark: SparkSession, path: str) -> DataFrame:
     """chunk, center, pivot: the codebook in a file of pivots; centred, as its writer took the centroid off."""
+    return parse_pivots(_files(spark, path))
+
+
+def parse_pivots(files: DataFrame) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -92,7 +130,7 @@ def read_pivots(spark: SparkSession, path: str) -> DataFrame:
                     n = len(centres)
                     yield pa.RecordBatch.from_arrays([pa.array([c] * n, pa.int32()), pa.array(np.arange(n, dtype=np.int32)), pa.array(list(centres[:, a:b]), pa.list_(pa.float32()))], ["chunk", "center", "pivot"])
 
-    return _files(spark, path).select("content").mapInArrow(run, "chunk int, center int, pivot array<float>")
+    return files.select("content").mapInArrow(run, "chunk int, center int, pivot array<float>")
 
 
 def read_codes(spark: SparkSession, path: str) -> DataFrame:

@@ -15,12 +15,16 @@ LABELS = {"entailment": 1, "contradiction": 0}
 
 def read_tsv_vectors(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
     """path, embedding from (gzipped) lines ``path TAB json array``; blank and unreadable lines are left out."""
-    cut = F.split("value", "\t", 2)
-    rows = spark.read.text(path).select(cut[0].alias("path"), F.from_json(F.get(cut, F.lit(1)), "array<float>").alias("embedding"))
-    rows = rows.where(F.col("embedding").isNotNull())
+    rows = parse_tsv_vectors(spark.read.text(path))
     return rows.limit(limit) if limit is not None else rows
 
 
+def parse_tsv_vectors(lines: DataFrame) -> DataFrame:
+    cut = F.split("value", "\t", 2)
+    rows = lines.select(cut[0].alias("path"), F.from_json(F.get(cut, F.lit(1)), "array<float>").alias("embedding"))
+    return rows.where(F.col("embedding").isNotNull())
+
+
 def read_images(spark: SparkSession, path: str) -> DataFrame:
     """path, content of all image files below a folder."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
@@ -35,10 +39,14 @@ def read_sentences(spark: SparkSession, path: str) -> DataFrame:
 
 def read_pair_labels(spark: SparkSession, path: str) -> DataFrame:
     """line, a, b, label (1 or 0) from TSV: label in column 0, sentences in columns 5 and 6; other labels are left out."""
+    return parse_pair_labels(spark.read.text(path).withColumn("line", F.monotonically_increasing_id()))
+
+
+def parse_pair_labels(lines: DataFrame) -> DataFrame:
+    """The same from (line, value)."""
     cells = F.split("value", "\t")
     label = F.create_map(*(x for k, v in LABELS.items() for x in (F.lit(k), F.lit(v))))
-    rows = spark.read.text(path).withColumn("line", F.monotonically_increasing_id())
-    return rows.select("line", F.get(cells, F.lit(5)).alias("a"), F.get(cells, F.lit(6)).alias("b"), F.element_at(label, cells[0]).alias("label")).where("label IS NOT NULL")
+    return lines.select("line", F.get(cells, F.lit(5)).alias("a"), F.get(cells, F.lit(6)).alias("b"), F.element_at(label, cells[0]).alias("label")).where("label IS NOT NULL")
 
 
 def write_sentences(rows: DataFrame, path: str) -> None:
