@@ -796,6 +796,36 @@ def test_viterbi_finds_the_best_labels():
         assert tuple(got.tolist()) == max(itertools.product(range(5), repeat=len(row)), key=value)
 
 
+def test_stretches_are_labelled_as_whole_texts():
+    """Plain words far from others are O, and the rest has the labels that decoding whole texts gives."""
+    from vectide.llm import pii
+
+    assert 1 <= pii.reach() < pii.MOST
+    rng = random.Random(12)
+    some = ["at", "dot", "(555)", "013-2244", "10.1.2.3:80", "06", "12", "34", "x.com", "(at)", "4111.1111.1111.1111", "a-b", "it's", "2024", "fe80::1"]
+    crf = pii.model()
+    for _ in range(150):
+        rate = rng.choice([0.02, 0.1, 0.4])
+        words = [rng.choice(some) if rng.random() < rate else "".join(rng.choice("abcdeé") for _ in range(rng.randint(1, 16))) for _ in range(rng.randint(1, 150))]
+        text = " ".join(words)
+        (whole,) = crf.decode([pii.word_features(words)])
+        at = {}
+        place = 0
+        for w, label in zip(words, whole.tolist(), strict=True):
+            at[place] = label
+            place += len(w) + 1
+        seen = set()
+        parts = pii.sequences(text)
+        for part, labels in zip(parts, crf.decode([pii.word_features([w for w, *_ in p]) for p in parts]), strict=True):
+            around = 2 * pii.reach()
+            odd = [i for i, (w, *_) in enumerate(part) if not pii.plain(w)]
+            for i, ((_, start, _), label) in enumerate(zip(part, labels.tolist(), strict=True)):
+                seen.add(start)
+                if odd[0] - around // 2 <= i <= odd[-1] + around // 2:
+                    assert at[start] == label, (text, start)
+        assert all(label == 0 for start, label in at.items() if start not in seen)
+
+
 def test_spans_of_unseen_rows_of_the_labelled_kinds():
     """Sentences like the labelled ones but of other words: what is found and what is left alone."""
     import pyarrow as pa

@@ -1,10 +1,12 @@
 """Personal data: fixed patterns, and a linear-chain CRF that adds what they miss.
 
 Kinds are email, ip, card and phone. The patterns give the base spans. The CRF
-labels words by their shapes; words it labels with a kind, joined when
-adjacent, are added as spans where they do not overlap a base span. It was
+labels the words of whole texts by their shapes; words it labels with a kind, joined when
+adjacent, are added as spans where they do not overlap a base span and could be
+of that kind (an address has its sign, a number its digits). It was
 trained from the small labelled table ``EXAMPLES`` and is decoded by Viterbi,
-many word sequences at a time.
+many word sequences at a time. Long stretches of plain words, which are surely
+of no kind by the model's own weights, are cut out first (see ``sequences``).
 
 Positions are code points, ends exclusive. Null and empty texts have no spans. Overlapping
 spans of different kinds all stay, ties by the order of the kinds. Texts are read whole; a long
@@ -257,75 +259,80 @@ def model() -> Crf:
     return Crf.train([labelled(x) for x in EXAMPLES])
 
 
-#: The CRF sees words near a cue: a word with three digits, adjacent words with LEAST_DIGITS together, hex groups between colons, or a spelled-out @ sign or dot.
-LEAST_DIGITS, AROUND = 7, 5
-_CUE = re.compile(
-    r"(?<!\S)\S*(?:[0-9][^\s0-9]{0,2}){3}\S*|[(\[](?:at|dot)[)\]]|(?<=\S )(?:at|dot)(?= \S+(?: dot |\.[a-z]))"
-    r"|(?<![0-9a-z:])(?=:*[0-9a-f])[0-9a-f]{0,4}(?::[0-9a-f]{0,4}){2,}(?![0-9a-z:])",
-    re.I,
-)
-_NUMBERED = re.compile(r"(?<!\S)[^\s0-9]*[0-9]\S*")
-_BETWEEN = re.compile(r"\s+(?:[^\w\s]{1,2}\s+)?")
+def plain(word: str) -> bool:
+    """Whether a trimmed word is letters alone and says no sign."""
+    return word.isalpha() and not (len(word) < 4 and word.lower() in _JOINS)
+
+
+@lru_cache(maxsize=1)
+def reach() -> int:
+    """So many plain words among plain words are sure to hold one that the best labelling calls O, whatever stands around them.
+
+    The bound takes, for each label, the class of plain words that is best for it, and any labels on both
+    sides, or none. MOST is returned if none so small holds, or if leaving O among plain words could pay.
+    """
+    crf = model()
+    gain = np.full(len(LABELS), -np.inf)
+    for n in range(1, 25):
+        for left in ([], ["word"]):
+            for right in ([], ["word"]):
+                own = word_features([*left, "x" * n, *right])[len(left)]
+                score = sum(crf.emit[crf.names[f]] for f in own if f in crf.names)
+                gain = np.maximum(gain, score - score[0])
+    move, gain = crf.move, gain[1:]
+    before = np.concatenate([move[:, 1:] - move[:, :1], np.zeros((1, len(gain)))])  # by the label before, or none
+    after = np.concatenate([move[1:] - move[0], np.zeros((len(gain), 1))], 1)
+    best, pays = before + gain, False
+    for n in range(1, MOST):
+        ends = (best[:, :, None] + after[None]).max(1)
+        pays |= ends[0, 0] >= 0
+        if (ends < 0).all():
+            return MOST if pays else n
+        best = (best[:, :, None] + move[1:, 1:][None] - move[0, 0]).max(1) + gain
+    return MOST
+
+
+#: plain words that surround others in what the model decodes, at most
+MOST = 40
 _WORD = re.compile(r"\S+")
 
 
 def sequences(text: str) -> list[list[tuple[str, int, int]]]:
-    """Stretches of words around every cue, as (trimmed word, start, end)."""
-    cues = sorted([*(m.span() for m in _CUE.finditer(text)), *_number_runs(text)])
-    out: list[list[tuple[str, int, int]]] = []
-    done = 0
-    i = 0
-    while i < len(cues):
-        left = max(done, _back(text, cues[i][0], AROUND))
-        stop = _ahead(text, cues[i][1], AROUND)
-        while i + 1 < len(cues) and cues[i + 1][0] <= stop:
-            i += 1
-            stop = max(stop, _ahead(text, cues[i][1], AROUND))
+    """All words that are not plain, with the plain ones around them, as (trimmed word, start, end).
+
+    Twice ``reach`` plain words on each side make the labels those of the whole text: the best labellings
+    of the whole and of the stretch both pass O somewhere in the first half and in the second, and
+    so stay O between; there they meet. Plain words farther off are O.
+    """
+    cores = [w.strip(_TRIM) for w in text.split()]
+    odd = [i for i, w in enumerate(cores) if w and not plain(w)]
+    if not odd:
+        return []
+    at = [m.span() for m in _WORD.finditer(text)]
+    around, stretches = 2 * reach() + 1, []
+    for i in odd:
+        if stretches and i - around <= stretches[-1][1]:
+            stretches[-1][1] = i + around
+        else:
+            stretches.append([i - around, i + around])
+    out = []
+    for first, last in stretches:
         words = []
-        for m in _WORD.finditer(text, left, stop):
-            w = m[0].strip(_TRIM)
-            if w:
-                at = m[0].index(w)
-                if "::" in m[0]:  # an address may begin or end so
-                    w = "::" * m[0][:at].endswith("::") + w + "::" * m[0][at + len(w) :].startswith("::")
-                a = m.start() + m[0].index(w)
-                words.append((w, a, a + len(w)))
-        if words:
-            out.append(words)
-        done = stop
-        i += 1
+        for i in range(max(0, first), min(len(cores), last + 1)):
+            w, (start, end) = cores[i], at[i]
+            if not w:
+                continue
+            whole = text[start:end]
+            place = whole.index(w)
+            if "::" in whole:  # an address may begin or end so
+                left = "::" * whole[:place].endswith("::")
+                w = left + w + "::" * whole[place + len(w) :].startswith("::")
+                place -= len(left)
+            words.append((w, start + place, start + place + len(w)))
+        out.append(words)
     return out
 
 
-def _number_runs(text: str) -> list[tuple[int, int]]:
-    """Words with digits, next to each other or with a sign between, that have LEAST_DIGITS together."""
-    out: list[tuple[int, int]] = []
-    start = end = digits = 0
-    for m in _NUMBERED.finditer(text):
-        if not digits or not _BETWEEN.fullmatch(text, end, m.start()):
-            if digits >= LEAST_DIGITS:
-                out.append((start, end))
-            start, digits = m.start(), 0
-        end = m.end()
-        digits += len(_digits(m[0]))
-    return [*out, (start, end)] if digits >= LEAST_DIGITS else out
-
-
-def _back(text: str, at: int, words: int) -> int:
-    left = text[max(0, at - 40 * words) : at]
-    found = list(_WORD.finditer(left))
-    return at - len(left) + (found[-words].start() if len(found) >= words else 0)
-
-
-def _ahead(text: str, at: int, words: int) -> int:
-    end = at
-    for i, m in enumerate(_WORD.finditer(text, at, min(len(text), at + 40 * words))):
-        if i == words:
-            break
-        end = m.end()
-    return end
-
-
 def _plausible(kind: str, span: str) -> bool:
     digits = _digits(span)
     if kind == "email":
