@@ -33,6 +33,8 @@ from vectide.llm.text import U64, pieces
 #: profile length, and at most so many labelled documents per language, chosen by hash of the id
 PROFILE, SAMPLE = 400, 3000
 UNKNOWN = "und"
+#: ids of sampled documents that may be broadcast
+FEW = 1 << 20
 #: bits of a code point, plus one; an n-gram is up to three of them
 POINT = 21
 
@@ -101,7 +103,8 @@ def profiles(docs: DataFrame, sample: int = SAMPLE, length: int = PROFILE) -> Da
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     known = docs.where("lang IS NOT NULL AND text IS NOT NULL")
     ids = known.select("lang", "doc_id").withColumn("at", F.row_number().over(order)).where(F.col("at") <= sample).select("doc_id").distinct()
-    chosen = known.join(ids, "doc_id").select("lang", "text")
+    # a sample for each language: broadcast if there are not too many languages for that
+    chosen = known.join(F.broadcast(ids) if ids.count() <= FEW else ids, "doc_id").select("lang", "text")
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in pieces(batches):
