@@ -409,6 +409,25 @@ def test_column_generation_is_near_the_bound():
     assert sum(c for c, _ in plan) <= 1.02 * least + 5
 
 
+def test_words_beyond_the_table_are_encoded_too(monkeypatch):
+    import pyarrow as pa
+
+    from vectide.llm import tokens
+
+    monkeypatch.setattr(tokens, "KEPT", 20)
+    monkeypatch.setattr(tokens, "LONGEST", 8)
+    own = tokens.WordTokenizer(tokens.default_tokenizer())
+    rng = random.Random(5)
+    sizes = []
+    for _ in range(30):
+        texts = [" ".join("".join(rng.choice("abcde") for _ in range(rng.randint(1, 12 if rng.random() < 0.2 else 4))) for _ in range(rng.randint(0, 30))) for _ in range(6)]
+        ids, off = own.encode(pa.array(texts))
+        for i, t in enumerate(texts):
+            assert ids[off[i] : off[i + 1]].tolist() == own.tokenizer.encode(t, add_special_tokens=False).ids
+        sizes.append(len(own.first))
+    assert len(own.known) == 20 and sizes[-1] == sizes[-10]
+
+
 def test_special_strings_are_encoded_as_the_tokenizer_does():
     import pyarrow as pa
 

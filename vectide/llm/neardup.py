@@ -328,15 +328,16 @@ def _matching(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
 
 
 def _wanted(ids: DataFrame, bits: int) -> np.ndarray:
-    """2**bits bits, packed: those set that the hash of an id in column cls points to."""
+    """2**bits bits, packed: those set that the hash of an id in any column points to."""
 
     def mark(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
         own = np.zeros(1 << bits >> 3, np.uint8)
         for batch in batches:
-            at = _bit(batch.column(0), bits)
-            np.bitwise_or.at(own, at >> 3, np.left_shift(1, at & 7).astype(np.uint8))
+            for column in batch.columns:
+                at = _bit(column, bits)
+                np.bitwise_or.at(own, at >> 3, np.left_shift(1, at & 7).astype(np.uint8))
         yield pa.RecordBatch.from_arrays([pa.array([zstandard.ZstdCompressor(level=1).compress(own.tobytes())])], ["bits"])
 
     import zstandard
@@ -352,8 +353,8 @@ def _bit(ids: pa.Array, bits: int) -> np.ndarray:
 
 
 def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """cls, and the text compressed, of the documents with these ids (and a few others)."""
-    bits = min(MOST_WANTED, max(LEAST_WANTED, (16 * ids.count()).bit_length()))
+    """cls, and the text compressed, of the documents with these ids, in all columns (and a few others)."""
+    bits = min(MOST_WANTED, max(LEAST_WANTED, (16 * len(ids.columns) * ids.count()).bit_length()))
     sent = docs.sparkSession.sparkContext.broadcast(_wanted(ids, bits))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -374,7 +375,7 @@ def _confirmed(matched: DataFrame, docs: DataFrame, size: int, percent: int) ->
     dealt = matched.withColumn("salt", salt)
     asked = dealt.select(F.col("b").alias("cls"), "a", "salts", "salt", F.lit(True).alias("member"))
     asked = asked.union(dealt.select(F.col("a").alias("cls"), "a", "salts", "salt", F.lit(False).alias("member")).distinct())
-    texts = _texts(docs, matched.select(F.explode(F.array("a", "b")).alias("cls")))
+    texts = _texts(docs, matched.select("a", "b"))
     rows = asked.join(texts, "cls").select("a", "salts", "salt", "member", "cls", "packed")
     rows = rows.repartition("a", "salts", "salt").sortWithinPartitions("a", "salts", "salt", "member")
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from vectide.llm.text import Words, ragged
 
 #: words whose ids a worker keeps, and the bytes of the longest
-KEPT, LONGEST = 1 << 17, 64
+KEPT, LONGEST = 1 << 19, 64
 
 
 def default_tokenizer() -> str:
@@ -28,14 +28,21 @@ def default_tokenizer() -> str:
 
 
 class Numbered(dict):
-    """Numbers of words in the order in which they were met; ``new`` gathers those not met before."""
+    """Numbers of words. ``new`` gathers those not met before; words beyond KEPT, and very long ones, are forgotten after a batch."""
 
     def __init__(self) -> None:
         self.new: list[bytes] = []
+        self.first, self.passing = 0, {}
 
     def __missing__(self, word: bytes) -> int:
-        self.new.append(word)
-        number = self[word] = len(self)
+        number = self.passing.get(word)
+        if number is None:
+            number = self.first + len(self.new)
+            self.new.append(word)
+            if len(self) < KEPT and len(word) <= LONGEST:
+                self[word] = number
+            else:
+                self.passing[word] = number
         return number
 
 
@@ -48,11 +55,8 @@ class WordTokenizer:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.clear()
-
-    def clear(self) -> None:
-        """Forget all words."""
         self.known = Numbered()
+        #: by number of a word: where its ids begin in ``ids``, and how many it has
         self.first, self.count = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.ids = np.zeros(0, np.uint32)
 
@@ -65,19 +69,18 @@ class WordTokenizer:
         n = len(words.off) - 1
         if not len(words):
             return np.zeros(0, np.uint32), np.zeros(n + 1, np.int64)
-        if len(self.known) > KEPT:
-            self.clear()
         data, off = words.data, words.off.tolist()
         texts = (data[a:b].tobytes().split() for a, b in zip(off[:-1], off[1:], strict=True))
         at = np.concatenate([np.fromiter(map(self.known.__getitem__, text), np.int64, len(text)) for text in texts])
-        if new := self.known.new:
-            more, lens = self._words([w.decode() for w in new])
-            self.first = np.concatenate([self.first, len(self.ids) + np.cumsum(lens) - lens])
+        known, kept = self.known, len(self.ids)
+        if known.new:
+            more, lens = self._words([w.decode() for w in known.new])
+            self.first = np.concatenate([self.first, kept + np.cumsum(lens) - lens])
             self.count, self.ids = np.concatenate([self.count, lens]), np.concatenate([self.ids, more])
-            self.known.new = []
         first, count, ids = self.first[at], self.count[at], self.ids
-        if new and max(map(len, new)) > LONGEST:
-            self.clear()
+        if len(known.passing) == len(known.new):  # none of them stays
+            self.first, self.count, self.ids = self.first[: known.first], self.count[: known.first], self.ids[:kept]
+        known.first, known.new, known.passing = len(self.first), [], {}
         group, place = ragged(count)
         out = ids[first[group] + place]
         return self._whole(column, words, out, np.concatenate([[0], np.cumsum(count)])[words.word_off])
@@ -89,8 +92,8 @@ class WordTokenizer:
         """
         lens = np.zeros(len(text), np.int64)
         out: list[np.ndarray] = []
-        for a in range(0, len(text), 4096):
-            part = text[a : a + 4096]
+        for a in range(0, len(text), 256):
+            part = text[a : a + 256]
             encoded = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
             ends = np.cumsum([len(w) + 1 for w in part])
             offsets = np.array(encoded.offsets, np.int64).reshape(-1, 2)
