@@ -76,7 +76,8 @@ def groups_for(docs: DataFrame, group_bytes: int = 6 << 20, least_docs: int = 50
 def grouped(docs: DataFrame, groups: int) -> DataFrame:
     """doc_id and text, dealt to ``groups`` hash groups of documents (column g) that stay together.
 
-    Repeated rows are dealt by the partition that they come from as well, so they fill no group.
+    Repeated rows are dealt by the partition that they come from as well, so they fill no group;
+    ``docs`` must therefore be a table or read back from one, with the same partitions each time.
     """
     key = F.pmod(F.xxhash64("doc_id", "text", F.spark_partition_id()), F.lit(groups))
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(groups // 2, 20000), 1)
