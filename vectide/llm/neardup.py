@@ -52,6 +52,8 @@ LEAST_WANTED, MOST_WANTED = 20, 27
 GROUP = 256
 #: turns with leaders at most, before all pairs left are compared
 TURNS = 6
+#: links, two numbers each, that are kept in one file
+LINKS = 1 << 20
 #: members of a list that are compared in one task, and candidate pairs per member that make a list a cloud
 BLOCK, DENSE = 1024, 4
 _XOR = mix(np.arange(1, ROWS * COORDINATES + 1, dtype=U64) * U64(0xA0761D6478BD642F))
@@ -409,7 +411,7 @@ def near_duplicates(docs: DataFrame, size_words: int = 5, percent: int = 80) ->
     lists = _postings(classes, classes.count())
     found = spark.createDataFrame([], "a long, b long")
     label: DataFrame | None = None
-    linked = 0
+    linked = total = 0
     for turn in range(TURNS + 1):
         order = F.xxhash64("cls", "token", F.lit(turn)) if turn else F.col("cls")
         last, (lists, size) = lists, _still_open(lists, label, order)
@@ -425,7 +427,8 @@ def near_duplicates(docs: DataFrame, size_words: int = 5, percent: int = 80) ->
             links = cut_lineage(_confirmed(matched, docs, size_words, percent))
         linked = links.count()
         if linked:
-            found = cut_lineage(found.union(links))
+            total += linked
+            found = cut_lineage(found.union(links).coalesce(1 + total // LINKS))
             label = components(found)
         free_shuffles(spark)
         if everything:
