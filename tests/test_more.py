@@ -115,3 +115,15 @@ def test_too_many_queries_for_one_graph_search(spark, monkeypatch):
     rows = spark.createDataFrame([(i, [float(i)]) for i in range(5)], "eid long, embedding array<float>")
     with pytest.raises(ValueError, match="more than 3 queries"):
         graph.search(graph.build(rows), rows.withColumnRenamed("eid", "qid"), 1)
+
+
+def test_index_on_disk(spark, tmp_path):
+    rng = np.random.default_rng(11)
+    rows = spark.createDataFrame([(f"v{i}", v.tolist()) for i, v in enumerate(rng.normal(size=(300, 12)).astype(np.float32))], "eid string, embedding array<float>")
+    params = GraphParams(degree=12, queue=48, pool=64)
+    graph.build_on_disk(rows, str(tmp_path / "i"), params=params, shards=2)
+    q = rows.where("eid IN ('v3', 'v77')").select(F.when(F.col("eid") == "v3", 3).otherwise(77).cast("long").alias("qid"), "embedding")
+    found = graph.search_on_disk(spark, str(tmp_path / "i"), q, 5, params=params)
+    assert {r.qid: r.eid for r in found.where("rank = 1").collect()} == {3: "v3", 77: "v77"}
+    assert [r.recall for r in knn.recall(found, knn.nearest_batch(rows, q, 5), 5).collect()] == [1.0, 1.0]
+    assert graph.code_chunks(10**9, 128, 1.0) == 1 and graph.code_chunks(10**7, 128, 1.0) == 80 and graph.code_chunks(10, 1000, 1.0) == 512

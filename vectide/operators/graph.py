@@ -16,11 +16,12 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vectide.functions import vectors as V
-from vectide.types import GraphParams, Metric, chunk_offsets
+from vectide.operators import quantize
+from vectide.types import GraphParams, Metric, chunk_offsets, ram_budget
 
 SCHEMA = "shard int, vid long, eid string, embedding array<float>, nbrs array<long>"
 SHARD_ROWS = 20_000
@@ -384,11 +385,30 @@ def write(graph: DataFrame, path: str) -> None:
     graph.repartition(max(1, shards), "shard").sortWithinPartitions("shard", "vid").write.partitionBy("shard").parquet(path)
 
 
-def read(graph_path: str, spark) -> DataFrame:
+def read(graph_path: str, spark: SparkSession) -> DataFrame:
     """What ``write`` has written."""
     return spark.read.schema(SCHEMA).parquet(graph_path).select("shard", "vid", "eid", "embedding", "nbrs")
 
 
+def code_chunks(n: int, dim: int, gigabytes: float) -> int:
+    """Chunks of a quantizer whose codes, a byte each, keep n vectors within so much memory: at least one, 512 at most."""
+    return int(max(1, min(ram_budget(gigabytes) // max(1, n), dim, 512)))
+
+
+def build_on_disk(vectors: DataFrame, path: str, metric: Metric = Metric.L2, params: GraphParams | None = None, gigabytes: float = 1.0, shards: int | None = None) -> None:
+    """An index under a folder: the graph by shards, and a product quantizer's codebook that guides its searches."""
+    vectors = vectors.where("embedding IS NOT NULL").select("eid", "embedding")
+    n, dim = vectors.agg(F.count(F.lit(1)), F.max(F.size("embedding"))).first()
+    write(build(vectors, metric, params, shards), f"{path}/graph")
+    numbered = vectors.select(F.xxhash64("eid").alias("eid"), "embedding")
+    quantize.train_product(numbered, dim, code_chunks(n, dim, gigabytes)).write.parquet(f"{path}/pivots")
+
+
+def search_on_disk(spark: SparkSession, path: str, queries: DataFrame, k: int, metric: Metric = Metric.L2, params: GraphParams | None = None, deleted: DataFrame | None = None) -> DataFrame:
+    """What ``search`` finds in an index of ``build_on_disk``, guided by its codebook."""
+    return search(read(f"{path}/graph", spark), queries, k, metric, params, deleted, codebook=spark.read.parquet(f"{path}/pivots"))
+
+
 # ---- relational views of adjacency
 
 
