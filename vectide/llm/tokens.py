@@ -3,8 +3,8 @@
 For a tokenizer whose normaliser and pre-tokenizer never join text across
 white space (the word BPE: NFC, white space dropped, lower case), a text's ids
 are those of its white-space separated words in a row. Words repeat, so each
-worker keeps the ids of words it has met, by the words themselves, in a table of
-bounded size and encodes only the others. Texts that hold an added token's string
+worker keeps the ids of words it has met in a table of fixed size, with the words' bytes,
+which are compared, and encodes only the others. Texts that hold an added token's string
 are encoded whole.
 """
 
@@ -15,10 +15,11 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 
-from vectide.llm.text import Words, ragged
+from vectide.llm.text import MASK, U64, Words, eights, mix, ragged
 
-#: words whose ids a worker keeps, and the bytes of the longest
-KEPT, LONGEST = 1 << 19, 64
+#: slots of the table of words, bytes of the longest word in it, and ids kept before it is emptied
+SLOT_BITS, LONGEST, KEPT_IDS = 20, 16, 6 << 20
+_MUL = U64(0x9E3779B97F4A7C15)
 
 
 def default_tokenizer() -> str:
@@ -27,25 +28,6 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-class Numbered(dict):
-    """Numbers of words. ``new`` gathers those not met before; words beyond KEPT, and very long ones, are forgotten after a batch."""
-
-    def __init__(self) -> None:
-        self.new: list[bytes] = []
-        self.first, self.passing = 0, {}
-
-    def __missing__(self, word: bytes) -> int:
-        number = self.passing.get(word)
-        if number is None:
-            number = self.first + len(self.new)
-            self.new.append(word)
-            if len(self) < KEPT and len(word) <= LONGEST:
-                self[word] = number
-            else:
-                self.passing[word] = number
-        return number
-
-
 class WordTokenizer:
     def __init__(self, path: str):
         import os
@@ -55,9 +37,14 @@ class WordTokenizer:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.known = Numbered()
-        #: by number of a word: where its ids begin in ``ids``, and how many it has
-        self.first, self.count = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.clear()
+
+    def clear(self) -> None:
+        """Forget all words."""
+        #: a word's first and next eight bytes and its size (0: no word), where its ids begin, and how many it has
+        self.low, self.high = np.zeros(1 << SLOT_BITS, U64), np.zeros(1 << SLOT_BITS, U64)
+        self.size = np.zeros(1 << SLOT_BITS, np.uint8)
+        self.first, self.count = np.zeros(1 << SLOT_BITS, np.int32), np.zeros(1 << SLOT_BITS, np.int32)
         self.ids = np.zeros(0, np.uint32)
 
     def _encode(self, texts: list[str]) -> list[np.ndarray]:
@@ -69,22 +56,46 @@ class WordTokenizer:
         n = len(words.off) - 1
         if not len(words):
             return np.zeros(0, np.uint32), np.zeros(n + 1, np.int64)
-        data, off = words.data, words.off.tolist()
-        texts = (data[a:b].tobytes().split() for a, b in zip(off[:-1], off[1:], strict=True))
-        at = np.concatenate([np.fromiter(map(self.known.__getitem__, text), np.int64, len(text)) for text in texts])
-        known, kept = self.known, len(self.ids)
-        if known.new:
-            more, lens = self._words([w.decode() for w in known.new])
-            self.first = np.concatenate([self.first, kept + np.cumsum(lens) - lens])
-            self.count, self.ids = np.concatenate([self.count, lens]), np.concatenate([self.ids, more])
-        first, count, ids = self.first[at], self.count[at], self.ids
-        if len(known.passing) == len(known.new):  # none of them stays
-            self.first, self.count, self.ids = self.first[: known.first], self.count[: known.first], self.ids[:kept]
-        known.first, known.new, known.passing = len(self.first), [], {}
+        if len(self.ids) > KEPT_IDS:
+            self.clear()
+        size = words.end - words.start
+        every = eights(words.data)
+        low = every[words.start] & MASK[np.minimum(size, 8)]
+        high = every[np.minimum(words.start + 8, len(words.data))] & MASK[np.clip(size - 8, 0, 8)]
+        h = mix(low + mix(high + size.astype(U64) * _MUL))
+        one = (h >> U64(64 - SLOT_BITS)).astype(np.int64)
+        slot, hit = one.copy(), self._holds(one, low, high, size)
+        rest = np.flatnonzero(~hit)
+        slot[rest] = self._second(h[rest])
+        hit[rest] = self._holds(slot[rest], low[rest], high[rest], size[rest])
+        first, count = self.first[slot].astype(np.int64), self.count[slot].astype(np.int64)
+        miss = np.flatnonzero(~hit)
+        if len(miss):
+            raw, new = words.data.tobytes(), {}
+            number = np.array([new.setdefault(raw[a:b], len(new)) for a, b in zip(words.start[miss].tolist(), words.end[miss].tolist(), strict=True)])
+            ids, lens = self._words([w.decode() for w in new])
+            starts = len(self.ids) + np.cumsum(lens) - lens
+            self.ids = np.concatenate([self.ids, ids])
+            first[miss], count[miss] = starts[number], lens[number]
+            at = np.empty(len(new), np.int64)
+            at[number[::-1]] = miss[::-1]
+            at = at[size[at] <= LONGEST]
+            into = np.where(self.size[one[at]] == 0, one[at], self._second(h[at]))
+            # of words that fall on one slot the last stays, in all of these
+            self.low[into], self.high[into], self.size[into] = low[at], high[at], size[at]
+            self.first[into], self.count[into] = first[at], count[at]
+        ids = self.ids
         group, place = ragged(count)
         out = ids[first[group] + place]
         return self._whole(column, words, out, np.concatenate([[0], np.cumsum(count)])[words.word_off])
 
+    def _second(self, h: np.ndarray) -> np.ndarray:
+        return ((h * _MUL) >> U64(64 - SLOT_BITS)).astype(np.int64)
+
+    def _holds(self, slot: np.ndarray, low: np.ndarray, high: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Whether a slot holds the word of these bytes."""
+        return (self.size[slot] == size) & (self.low[slot] == low) & (self.high[slot] == high)
+
     def _words(self, text: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of these words in a row, and how many each has.
 
