@@ -140,8 +140,11 @@ class Places:
         return out
 
 
-def cut(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
-    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens (and ids)."""
+def cut(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False, keep_words: bool = True) -> DataFrame:
+    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens (and ids).
+
+    With ``keep_words`` workers keep their tokenizer and table of words (some 60 MB) for their next tasks.
+    """
     path = path or default_tokenizer()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,6 +170,8 @@ def cut(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end_
                 columns.append(pa.array(kept, pa.list_(pa.int32())))
                 fields.append("ids")
             yield pa.RecordBatch.from_arrays(columns, fields)
+        if not keep_words:
+            tokenizer.cache_clear()
 
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<int>" * with_ids
     return docs.select("doc_id", "text").mapInArrow(tidy(run), schema)
@@ -181,11 +186,11 @@ def class_width(length: Column, capacity: int = CAPACITY, unit: int = UNIT) -> C
     return F.least(F.ceil(length / step) * step, F.lit(capacity)).cast("int")
 
 
-def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, unit: int = UNIT, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, unit: int = UNIT, end_id: int = END_ID, with_ids: bool = False, keep_words: bool = True) -> DataFrame:
     """The pieces of ``cut`` with their sequence_id and offset in it."""
     width = class_width(F.col("length"), capacity, unit)
     # each piece has a number of its own, so that neither equal rows nor rows without an id fill a block
-    cuts = stored(cut(docs, path, capacity, end_id, with_ids).withColumns({"width": width, "piece": F.monotonically_increasing_id()}))
+    cuts = stored(cut(docs, path, capacity, end_id, with_ids, keep_words).withColumns({"width": width, "piece": F.monotonically_increasing_id()}))
     blocks = max(1, min(100_000, cuts.count() // 2000))
     cuts = cuts.withColumn("block", F.pmod(F.xxhash64("piece"), F.lit(blocks)).cast("int"))
     counted = cuts.groupBy("block", "width").agg(F.count(F.lit(1)).alias("n"))
