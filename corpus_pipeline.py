@@ -76,8 +76,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents with their place in a sequence."""
-    return packing.pack(docs)
+    """The pieces of all documents with their place in a sequence. Workers that other stages use too forget the words."""
+    return packing.pack(docs, keep_words=False)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
