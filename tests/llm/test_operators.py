@@ -664,6 +664,29 @@ def test_mixture_against_a_plain_predictor():
     assert np.allclose(model.text_scores(words, first, back), plain, rtol=1e-4)
 
 
+def test_mixture_reads_texts_without_new_words(spark, tmp_path):
+    """Stretches whose words were all met before, texts of one-letter words alone, and chunks that end with the last symbol."""
+    import numpy as np
+    import pyarrow as pa
+
+    from vectide.llm import mixture
+    from vectide.llm.text import Words
+
+    learner = mixture.Learner(mixture.Code.of(np.arange(1, 257)), 16)
+    for text in ("the abacus", "the abacus", "a b", ""):
+        learner.read(Words(pa.array([text])))
+    spelling = mixture.Spelling.of(Words(pa.array(["abacus"])), np.arange(1))
+    whole = sum(len(bit) for _, _, bit, _ in spelling.events(learner.code, 16))
+    assert whole == learner.code.size[spelling.symbol].sum()
+    for chunk in (whole, whole // 3, 1):
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(mixture, "CHUNK", chunk)
+            assert sum(len(bit) for _, _, bit, _ in spelling.events(learner.code, 16)) == whole
+    spark.createDataFrame([(i, "a b") for i in range(20)], "doc_id long, text string").write.parquet(str(tmp_path / "t"))
+    docs = spark.read.parquet(str(tmp_path / "t"))
+    assert all(r.score < 0 and r.n_known == 3 for r in mixture.score(docs, mixture.train(docs)).collect())
+
+
 def test_mixture_learns_online():
     import numpy as np
     import pyarrow as pa
