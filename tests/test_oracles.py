@@ -45,6 +45,14 @@ def test_query(spark, sql, name):
     assert rows(got, names) == rows((want.columns, want.fetchall()), names)
 
 
+def test_segments_beyond_the_first(spark, tmp_path):
+    """The smallest tables fill one segment only; segments begin at the ids at which SQL begins them."""
+    spark.range(2100).selectExpr("id AS vec_id", "array(0f) AS embedding", "0 AS label").write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = sorted(tuple(r) for r in plans.QUERIES["segment_sizes"](spark, str(tmp_path)).collect())
+    want = duckdb.sql(plans.ORACLES["segment_sizes"].replace("embeddings", f"'{tmp_path}/embeddings.parquet/*.parquet'")).fetchall()
+    assert got == sorted(want) == [(0, 1000), (1, 1000), (2, 100)]
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 

@@ -183,7 +183,7 @@ def catalog_list(spark, sf_dir):
 @query("segment_sizes", "SELECT vec_id // 1000 AS segment, count(*) AS n FROM embeddings GROUP BY 1")
 def segment_sizes(spark, sf_dir):
     rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("vid"))
-    return store.segments(rows, rows_per_segment(256, DIM))
+    return store.segments(rows, rows_per_segment(256, DIM, kilobyte=1000))
 
 
 @query("anti_join_deletes", "SELECT vec_id AS eid FROM embeddings WHERE vec_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)")

@@ -62,8 +62,9 @@ def aligned(dim: int) -> int:
     return -(-dim // ALIGNMENT) * ALIGNMENT
 
 
-def rows_per_segment(segment_kb: int, dim: int) -> int:
-    return max(LEAST_SEGMENT_ROWS, segment_kb * 1024 // (aligned(dim) * 4))
+def rows_per_segment(segment_kb: int, dim: int, kilobyte: int = 1024) -> int:
+    """Vectors of a segment; the index in memory counts 1,000 bytes as a kilobyte, the stored one 1,024."""
+    return max(LEAST_SEGMENT_ROWS, segment_kb * kilobyte // (aligned(dim) * 4))
 
 
 def checked_id(text: str) -> str:
