@@ -95,6 +95,25 @@ def test_guided_walk_and_counters(spark):
     assert not set(built.search(q[:1], 48, 10, hidden)[0][0].tolist()) & set(coded[0][:3].tolist())
 
 
+def test_search_walks_on_until_it_is_settled():
+    """Vectors without structure: a short queue misses neighbours that twice the queue finds; hidden rows stay hidden."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(3000, 32)).astype(np.float32)
+    x /= np.sqrt((x**2).sum(1, keepdims=True))
+    built = graph.Graph(x, Metric.L2, GraphParams(degree=8, queue=12, pool=20)).build()
+    q, hidden = x[::30], np.arange(3000) % 3 == 1
+    pivots = [x[:32, 8 * c : 8 * c + 8] for c in range(4)]
+    codes = np.stack([((x[:, None, 8 * c : 8 * c + 8] - pivots[c][None]) ** 2).sum(2).argmin(1) for c in range(4)], 1)
+    for gone in (None, hidden):
+        far = ((x[None] - q[:, None]) ** 2).sum(2)
+        truth = np.argsort(far if gone is None else np.where(gone, np.inf, far), axis=1)[:, :10]
+        for lookup in (None, graph.Lookup(codes, pivots)):
+            once, settled = (np.array([len(set(t) & set(r)) for t, r in zip(truth.tolist(), f(q, 12, 10, gone, lookup)[0].tolist(), strict=True)]) for f in (built.search, built.settled))
+            assert settled.min() >= 7 > once.min() and settled.mean() > max(9.5, once.mean())
+            assert gone is None or not gone[built.settled(q, 12, 10, gone, lookup)[0]].any()
+    assert built.settled(q, 12, 10, np.ones(3000, bool))[0].max() == -1
+
+
 def test_graph_on_disk_by_shard_and_guided_in_a_plan(spark, tmp_path):
     rng = np.random.default_rng(8)
     rows = spark.createDataFrame([(str(i), v.tolist()) for i, v in enumerate(rng.normal(size=(400, 8)).astype(np.float32))] + [("999", None)], "eid string, embedding array<float>")

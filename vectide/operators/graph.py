@@ -174,17 +174,32 @@ class Graph:
 
     # -- searching
 
-    def search(self, q: np.ndarray, queue: int, k: int, hidden: np.ndarray | None = None, lookup: Lookup | None = None, beam: int = 4, counters: Counters | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """(queries x k rows, distances), -1 where fewer are found: a best-first walk from the entry.
+    def search(self, q: np.ndarray, queue: int, k: int, hidden: np.ndarray | None = None, lookup: Lookup | None = None, beam: int = 4, counters: Counters | None = None, start: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(queries x k rows, distances), -1 where fewer are found: a best-first walk from the entry and from the rows of ``start``.
 
         Each query expands the ``beam`` nearest nodes of its queue at a time, until it has expanded all of
         them. Hidden rows are walked through but not returned. With a ``lookup`` it guides the walk, and
         what was expanded is measured.
         """
-        found = [self._walk(q[at : at + WALKED], queue, k, hidden, lookup, beam, counters or Counters()) for at in range(0, len(q), WALKED)]
+        found = [self._walk(q[at : at + WALKED], queue, k, hidden, lookup, beam, counters or Counters(), None if start is None else start[at : at + WALKED]) for at in range(0, len(q), WALKED)]
         return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
 
-    def _walk(self, q: np.ndarray, queue: int, k: int, hidden: np.ndarray | None, lookup: Lookup | None, beam: int, counters: Counters) -> tuple[np.ndarray, np.ndarray]:
+    def settled(self, q: np.ndarray, queue: int, k: int, hidden: np.ndarray | None = None, lookup: Lookup | None = None, beam: int = 4, counters: Counters | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """What ``search`` finds, walked again with twice the queue for the queries whose answer that changes, until none does.
+
+        What a walk by codes has found is walked on from, by exact distances, first with a queue of 2 * k.
+        """
+        rows, dist = self.search(q, queue, k, hidden, lookup, beam, counters)
+        open_, width = np.arange(len(q)), k if lookup else queue
+        while len(open_) and width < len(self.x):
+            width *= 2
+            again, far = self.search(q[open_], width, k, hidden, None, beam, counters, rows[open_] if lookup else None)
+            changed = (again != rows[open_]).any(1)
+            rows[open_], dist[open_] = again, far
+            open_ = open_[changed]
+        return rows, dist
+
+    def _walk(self, q: np.ndarray, queue: int, k: int, hidden: np.ndarray | None, lookup: Lookup | None, beam: int, counters: Counters, start: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         q = np.ascontiguousarray(q, np.float32)
         tables = lookup.tables(q) if lookup else None
 
@@ -197,10 +212,11 @@ class Graph:
         n = len(q)
         every = np.arange(n)
         rows, dist, done = np.full((n, queue), -1), np.full((n, queue), np.inf, np.float32), np.ones((n, queue), bool)
-        rows[:, 0], done[:, 0] = self.entry, False
-        dist[:, 0] = far(every, np.full((n, 1), self.entry))[:, 0]
         seen = np.zeros((n, len(self.x)), bool)
-        seen[:, self.entry] = True
+        for i, first in enumerate([np.full(n, self.entry), *([] if start is None else start[:, : queue - 1].T)]):
+            new = np.flatnonzero((first >= 0) & ~seen[every, first])
+            rows[new, i], done[new, i], seen[new, first[new]] = first[new], False, True
+            dist[new, i] = far(new, first[new, None])[:, 0]
         visited: list[tuple[np.ndarray, np.ndarray]] = []
         while not done.all():
             at = np.flatnonzero(~done.all(1))
@@ -353,7 +369,7 @@ def search(graph: DataFrame, queries: DataFrame, k: int, metric: Metric = Metric
         if pivots:
             at = chunk_offsets(g.x.shape[1], len(pivots))
             lookup = Lookup(np.stack([V.distances(g.x[:, at[c] : at[c + 1]], p, Metric.L2).argmin(1) for c, p in enumerate(pivots)], 1), pivots)
-        found, dist = g.search(q, max(params.queue, k), k, hidden, lookup, beam)
+        found, dist = g.settled(q, max(params.queue, k), k, hidden, lookup, beam)
         who, place = np.nonzero(found >= 0)
         at = found[who, place]
         exact = V.exact(g.x[at], q[who], metric)
