@@ -820,6 +820,79 @@ def test_mixture_score_is_mixed_bits_alone(spark, tmp_path):
     assert np.isfinite(list(got.values())).all()
 
 
+def test_mixture_handles_only_what_differs(monkeypatch):
+    """Tokens alike in all contexts are scored once, words are hashed once, and a block's events take little memory."""
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    from vectide.llm import mixture, wordbits
+    from vectide.llm.text import Words
+
+    rng = random.Random(9)
+    text = " ".join("".join(rng.choice("abcdef") for _ in range(rng.randint(1, 9))) for _ in range(400))
+    words = Words(pa.array([text]))
+    keys, _, back = mixture.hashed(words)
+    times = np.bincount(back)
+    lexicon = wordbits.Lexicon.of(keys[times > 1], times[times > 1], int((times == 1).sum()), 1, mixture.Code.of)
+    code = mixture.Code.of(np.arange(1, 257))
+    learner = wordbits.WordLearner(lexicon)
+    learner.read(wordbits.Stream(lexicon, words, words.hashes(lower=True)))
+    model = wordbits.WordModel.blank(lexicon)
+    model.learn_nodes(learner.nodes)
+    model.tables[:, :-1] = [wordbits.packed(x[:-1]) for x in learner.counts]
+    both = mixture.Mixture(model, mixture.Model.of(code, 16, []))
+
+    handled, hashings, events, hashes = [], [], wordbits.Stream.events, Words.hashes
+
+    def counted(self, *args):
+        for chunk in events(self, *args):
+            handled.append(len(chunk[2]))
+            yield chunk
+
+    monkeypatch.setattr(wordbits.Stream, "events", counted)
+    monkeypatch.setattr(Words, "hashes", lambda self, *a, **b: (hashings.append(1), hashes(self, *a, **b))[1])
+
+    def scored(texts):
+        handled.clear(), hashings.clear()
+        words = Words(pa.array(texts))
+        return both.scores(words, words.hashes(lower=True)), sum(handled), len(hashings)
+
+    one, n, _ = scored([text])
+    many, m, hashed = scored([text, "", None, *[text] * 19])
+    assert np.allclose(np.delete(many, (1, 2)), one[0], rtol=1e-6) and many[1] == many[2] < 0
+    assert m <= n + lexicon.size[lexicon.end] and hashed == 1
+
+    fresh = Words(pa.array([" ".join("".join(rng.choice("abcdefgh") for _ in range(8)) for _ in range(20000))]))
+    learner = mixture.Learner(code, 16)
+    tracemalloc.start()
+    try:
+        learner.read(fresh, np.arange(len(fresh)))
+        assert tracemalloc.get_traced_memory()[1] < 60 << 20
+    finally:
+        tracemalloc.stop()
+
+
+def test_mixture_finds_words_and_states():
+    import numpy as np
+
+    from vectide.llm import mixture, wordbits
+
+    rng = np.random.default_rng(3)
+    top = (1 << 64) - 1
+    near = [0, 1, 2, 1 << 40, (1 << 40) + 1, *range(top - 70, top + 1), *((7 << 60) + i for i in range(90))]
+    for keys in ([], [0], [top], near, [*near, *rng.integers(0, top, 5000, np.uint64, True).tolist()]):
+        keys = np.unique(np.array(keys, np.uint64))
+        lexicon = wordbits.Lexicon.of(keys, np.ones(len(keys), np.int64), 1, 1, mixture.Code.of)
+        asked = rng.permutation(np.concatenate([keys, keys + np.uint64(1), keys - np.uint64(1), rng.integers(0, top, 1000, np.uint64, True)]))
+        place = {k: i for i, k in enumerate(keys.tolist())}
+        assert lexicon.symbols(asked).tolist() == [place.get(h, lexicon.other) for h in asked.tolist()]
+    pairs = [(z, o) for z in range(140) for o in range(140)] + [(1 << 24, 0), ((1 << 31) - 1, 1), (0, (1 << 31) - 1)]
+    want = [min((z + o).bit_length(), 7) * 2 + (z > 0 and o > 0) for z, o in pairs]
+    assert wordbits.state_of(*wordbits.some_of(np.array(pairs, np.int32).reshape(-1))).tolist() == want
+
+
 def test_mixture_beats_the_base_at_scale(spark):
     sf = "/root/testdata/sf0.1"
     size = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", F.octet_length("text").alias("bytes"))
